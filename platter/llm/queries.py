@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from platter.llm import fingerprint
+from platter.llm import fingerprint, line_dedup, pii, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,8 +17,100 @@ def op1_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_neighbours(_table(spark, sf_dir, "documents"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup_digest(_table(spark, sf_dir, "documents"))
+
+
+def op9_url_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(_table(spark, sf_dir, "pages")).drop("alias_component")
+
+
+def op10_pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_weighted_fingerprints": op1_weighted_fingerprints,
+    "op7_line_dedup": op7_line_dedup,
+    "op9_url_equivalence": op9_url_equivalence,
+    "op10_pii_anchors": op10_pii_anchors,
 }
 
-ORACLE: dict[str, str] = {}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+_OP7_SQL = f"""
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+         unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos
+  FROM documents),
+keyed AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                      '{_UPPER}', '{_LOWER}') AS key
+  FROM lines),
+frequent AS (
+  SELECT key, max(doc_id) AS last FROM keyed WHERE length(key) >= 40
+  GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+marked AS (
+  SELECT k.*, f.key IS NOT NULL AND k.doc_id <> f.last AS gone FROM keyed k LEFT JOIN frequent f ON k.key = f.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
+_OP9_SQL = rf"""
+WITH RECURSIVE split AS (
+  SELECT page_id, url, coalesce(html, '') AS html,
+         CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
+  FROM pages),
+parts AS (
+  SELECT page_id, url, html, rest, regexp_extract(rest, '^[^/?#]*') AS raw_host FROM split),
+judged AS (
+  SELECT page_id, url, html, translate(raw_host, '{_UPPER}', '{_LOWER}') AS host,
+         regexp_extract(substr(rest, length(raw_host) + 1), '^[^?#]*') AS path,
+         regexp_extract(rest, '^[^#?]*([?][^#]*)?', 1) AS query
+  FROM parts),
+ruled AS (
+  SELECT *, host || CASE WHEN path = '' THEN '/' ELSE path END || query AS id, CASE
+    WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/en/7') THEN 'example.com/en/7'
+    WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/de/8') THEN 'example.net/de/8'
+    WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/en/') THEN 'com/en/'
+    WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/de/') THEN 'net/de/'
+    WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/es/') THEN 'org/es/' END AS rule
+  FROM judged),
+by_rule AS (
+  SELECT *, CASE WHEN rule IN ('com/en/', 'example.net/de/8', 'org/es/') THEN 'block'
+                 WHEN rule IS NOT NULL THEN 'allow' END AS by_rule FROM ruled),
+targets AS (
+  SELECT id, url, unnest([
+    regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*\bhref\s*=\s*["'']?([^"''\s>]+)', 1),
+    regexp_extract(html, '(?is)<link\b[^>]*\bhref\s*=\s*["'']?([^"''\s>]+)[^>]*\brel\s*=\s*["'']?canonical\b', 1),
+    regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*url\s*=\s*["'']?([^"''\s>]+)', 1)]) AS t
+  FROM by_rule WHERE host <> '' AND (html ILIKE '%canonical%' OR html ILIKE '%refresh%')),
+absolute AS (
+  SELECT id AS u, CASE
+    WHEN strpos(t, '://') > 0 THEN t
+    WHEN starts_with(t, '//') THEN split_part(url, '://', 1) || ':' || t
+    WHEN starts_with(t, '/') THEN regexp_extract(url, '^[^:/?#]*://[^/?#]*') || t
+    WHEN regexp_extract(url, '^[^:/?#]*://[^?#]*/') = '' THEN regexp_extract(url, '^[^:/?#]*://[^/?#]*') || '/' || t
+    ELSE regexp_extract(url, '^[^:/?#]*://[^?#]*/') || t END AS whole
+  FROM targets WHERE t <> ''),
+edges AS (
+  SELECT u, translate(regexp_extract(substr(whole, strpos(whole, '://') + 3), '^[^/?#]*'), '{_UPPER}', '{_LOWER}')
+    || CASE WHEN regexp_extract(substr(whole, strpos(whole, '://') + 3), '^[^/?#]*([^?#]*)', 1) = '' THEN '/'
+            ELSE regexp_extract(substr(whole, strpos(whole, '://') + 3), '^[^/?#]*([^?#]*)', 1) END
+    || regexp_extract(substr(whole, strpos(whole, '://') + 3), '^[^#?]*([?][^#]*)?', 1) AS v
+  FROM absolute),
+both_ways AS (SELECT u, v FROM edges UNION SELECT v, u FROM edges),
+reach AS (
+  SELECT id FROM by_rule WHERE by_rule = 'block'
+  UNION
+  SELECT e.v FROM reach r JOIN both_ways e ON e.u = r.id)
+SELECT page_id, host, path, rule, coalesce(by_rule, CASE WHEN id IN (SELECT id FROM reach)
+         AND id IN (SELECT u FROM both_ways) THEN 'block' ELSE 'allow' END) AS verdict
+FROM by_rule
+"""
+
+ORACLE: dict[str, str] = {
+    "op7_line_dedup": _OP7_SQL,
+    "op9_url_equivalence": _OP9_SQL,
+}
