@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from platter.llm import byte_bpe, fingerprint, line_dedup, packing, pii, url_filter
+from platter.llm import byte_bpe, fingerprint, html_text, line_dedup, packing, pii, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,15 @@ def op1_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_neighbours(_table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score_toxicity(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
+
+
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(_table(spark, sf_dir, "pages").select("page_id", "html"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -41,6 +50,8 @@ def op10_pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_weighted_fingerprints": op1_weighted_fingerprints,
+    "op2_toxicity_segments": op2_toxicity_segments,
+    "op3_html_text": op3_html_text,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_line_dedup": op7_line_dedup,
     "op8_byte_bpe": op8_byte_bpe,
