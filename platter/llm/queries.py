@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from platter.llm import byte_bpe, embedding_dedup, fingerprint, html_text, line_dedup, packing, pii, toxicity, url_filter
+from platter.llm import byte_bpe, embedding_dedup, fingerprint, html_text, line_dedup, minhash_dedup, packing, pii, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.dedup_embeddings(_table(spark, sf_dir, "embeddings"))
 
 
+def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity_segments": op2_toxicity_segments,
     "op3_html_text": op3_html_text,
     "op4_embedding_dedup": op4_embedding_dedup,
+    "op5_minhash_dedup": op5_minhash_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_line_dedup": op7_line_dedup,
     "op8_byte_bpe": op8_byte_bpe,
