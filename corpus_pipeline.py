@@ -1,8 +1,58 @@
-"""Corpus pipeline: documents through five stages, each written and read again."""
+"""Corpus pipeline: documents through five stages, each written as Parquet and read again.
+
+Toxic documents go; lines that many documents share stay in one; one document
+of each near-duplicate group stays; personal data give way to their kinds; what
+is left is tokenised and packed. ORACLE_SQL is None: neither a trained score nor
+a tokenizer can be written in SQL; tests/llm/test_pipeline.py holds the result
+against a brute-force version.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from platter.llm import line_dedup, minhash_dedup, packing, pii, toxicity
+from platter.llm._common import Scratch
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.drop_toxic(docs, model)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(docs)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return minhash_dedup.drop_near_duplicates(docs)
+
+
+def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pii.redact_pii(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", dedup_lines),
+    ("minhash_near_dedup", drop_near_duplicates),
+    ("pii", redact_pii),
+    ("best_fit_packing", pack),
+]
 
-STAGES: list = []
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "corpus-pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = scratch.table(stage(spark, docs, sf_dir), name)
+    return docs
