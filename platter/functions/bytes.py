@@ -183,3 +183,24 @@ def adfs_checksum(sector: Column) -> Column:
         F.lit(255),
         lambda t, i: F.when(t > 255, (t + 1).bitwiseAND(255)).otherwise(t) + u8(sector, i),
     ).bitwiseAND(255)
+
+
+def pack_slot(load: Column, exec_addr: Column, length: Column, start: Column) -> Column:
+    """The eight bytes of a flat catalogue entry's numbers: three of 18 bits and one of 10."""
+    low = lambda v, n: F.lpad(F.hex(F.shiftright(v.cast("long"), 8 * n).bitwiseAND(255)), 2, "0")
+    high = lambda v, by: F.shiftleft(F.shiftright(v.cast("long"), 16).bitwiseAND(3), by)
+    tail = high(load, 2).bitwiseOR(high(length, 4)).bitwiseOR(high(exec_addr, 6)).bitwiseOR(F.shiftright(start.cast("long"), 8).bitwiseAND(3))
+    words = [low(v, n) for v in (load, exec_addr, length) for n in (0, 1)]
+    return F.unhex(F.concat(*words, F.lpad(F.hex(tail), 2, "0"), low(start, 0)))
+
+
+def unpack_slot(slot: Column) -> dict[str, Column]:
+    """load_addr, exec_addr, length and start_sector of a slot."""
+    tail = u8(slot, 6)
+    high = lambda n: F.shiftright(tail, n).bitwiseAND(3).cast("long") * 65536
+    return {
+        "load_addr": u16(slot, 0).cast("long") + high(2),
+        "exec_addr": u16(slot, 2).cast("long") + high(6),
+        "length": u16(slot, 4).cast("long") + high(4),
+        "start_sector": (u8(slot, 7) + tail.bitwiseAND(3) * 256).cast("int"),
+    }

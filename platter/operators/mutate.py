@@ -24,6 +24,13 @@ COMMANDS = (
 RESULT = "image_id string, content binary, changed boolean, log array<struct<seq:bigint,op:string,path:string,won:bigint,error:string>>"
 
 
+def _plain(value):
+    """Pandas gives numbers beside nulls as floats."""
+    if value is None or value != value:
+        return None
+    return int(value) if isinstance(value, float) else value
+
+
 def _apply(sides: list, c: dict) -> int | None:
     if not 0 <= (c["side"] or 0) < len(sides):
         raise discs.DiscError(f"no side {c['side']}")
@@ -67,7 +74,7 @@ def apply_commands(images: DataFrame, commands: DataFrame) -> DataFrame:
                 except (discs.DiscError, IndexError) as e:
                     sides, log = [], [{"seq": None, "op": "open", "path": None, "won": None, "error": str(e)}]
                 for c in r.commands if r.commands is not None and sides else []:
-                    c = {k: None if v is None or v != v else v for k, v in (c if isinstance(c, dict) else c.asDict()).items()}
+                    c = {k: _plain(v) for k, v in (c if isinstance(c, dict) else c.asDict()).items()}
                     try:
                         won, error = _apply(sides, c), None
                         changed = True
