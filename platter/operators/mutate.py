@@ -58,7 +58,7 @@ def _apply(sides: list, c: dict) -> int | None:
 
 def apply_commands(images: DataFrame, commands: DataFrame) -> DataFrame:
     """image_id, content, changed and log of every image; images without commands pass through."""
-    known = detect_format(images) if "format" not in images.columns else images
+    known = detect_format(images.select("image_id", "ext", "content"))
     names = [x.split()[0] for x in COMMANDS.split(", ")]
     listed = commands.select(*names).groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct(*names[1:]))).alias("commands"))
 

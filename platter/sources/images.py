@@ -2,8 +2,8 @@
 
 Everything here is built-in expressions over `binaryFile` rows: a row is an
 image, so parallelism comes from their number, and columns that a query doesn't
-ask for are never decoded. Bytes of sides are made linear once (`side_content`),
-after which every file is one substring.
+ask for are never decoded. Bytes of sides are made linear once, after which every
+file is one substring of its row.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from platter.functions import access as A
 from platter.functions import bytes as B
 
 EXTENSIONS = (".ssd", ".dsd", ".adf", ".adl")
@@ -106,41 +107,21 @@ def deinterleave(content: Column, surface: int, size: int = TRACK) -> Column:
 
 
 def surfaces(images: DataFrame) -> DataFrame:
-    """One row a side of the readable images, its content linear: image_id, format, side, content, side_count."""
-    known = detect_format(images) if "format" not in images.columns else images
-    known = known.where(~F.col("fatal"))
+    """One row a side of the readable images, its content linear: image_id, ext, format, side, content, side_count; other columns don't pass."""
+    known = detect_format(images.select("image_id", "ext", "content")).where(~F.col("fatal"))
     content = F.col("content")
     flat = F.when(
         F.col("double_sided"), F.array(deinterleave(content, 0), deinterleave(content, 1))
     ).otherwise(F.array(content))
     adl = F.concat(deinterleave(content, 0, ADFS_TRACK), deinterleave(content, 1, ADFS_TRACK))
     sides = F.when(F.col("format") == "dfs", flat).otherwise(F.array(F.when(F.col("double_sided"), adl).otherwise(content)))
-    others = [c for c in known.columns if c not in ("content", "fatal", "problem", "length")]
-    return known.select(*others, F.size(sides).alias("side_count"), F.posexplode(sides).alias("side", "content"))
+    return known.select("image_id", "ext", "format", "double_sided", F.size(sides).alias("side_count"), F.posexplode(sides).alias("side", "content"))
 
 
-def dfs_sides(sides: DataFrame) -> DataFrame:
-    """title, cycle, boot_option, disc_size, tracks, entry_count and problem of flat sides; content is kept."""
-    c = F.col("content")
-    stored = _recorded_sectors(c)
-    derived = F.floor(F.length(c) / 256).cast("int")
-    trusted = stored.isin(400, 800)
-    size = F.when(trusted | ~F.floor(derived / 10).isin(40, 80), stored).otherwise(derived)
-    offset = B.u8(c, 256 + 5)
-    title = F.regexp_replace(B.seven_bit(F.concat(B.cut(c, 0, 8), B.cut(c, 256, 4))), r"[\x00 ]+\z", "")
-    return sides.where("format = 'dfs'").select(
-        "*",
-        title.alias("title"),
-        B.u8(c, 256 + 4).alias("cycle"),
-        F.shiftright(B.u8(c, 256 + 6), 4).bitwiseAND(3).alias("boot_option"),
-        size.alias("disc_size"),
-        F.floor(size / 10).cast("int").alias("tracks"),
-        F.when((offset % 8 == 0) & (offset <= 248), F.floor(offset / 8).cast("int")).alias("entry_count"),
-        F.when(offset % 8 != 0, "file offset isn't a multiple of 8")
-        .when(offset > 248, "more than 31 files")
-        .when(size != stored, "stored size replaced by the image's")
-        .alias("problem"),
-    )
+ENTRY = (
+    "ord int, directory string, name string, full_name string, load_addr long, exec_addr long, length long, "
+    "start_sector int, locked boolean, is_directory boolean, access int, sequence int, problem string"
+)
 
 
 def _dfs_entry(c: Column, i: Column) -> Column:
@@ -149,32 +130,50 @@ def _dfs_entry(c: Column, i: Column) -> Column:
     mark = B.u8(c, base + 7)
     high = lambda n: F.shiftright(tail, n).bitwiseAND(3).cast("long") * 65536
     low = lambda at: B.u8(c, base + 256 + at).cast("long") + B.u8(c, base + 256 + at + 1).cast("long") * 256
-    name = F.regexp_replace(B.seven_bit(B.cut(c, base, 7)), " +\\z", "")
+    bare = F.regexp_replace(B.seven_bit(B.cut(c, base, 7)), " +\\z", "")
+    name = F.when(bare == "", " ").otherwise(bare)
+    directory = F.char(mark.bitwiseAND(127))
+    length, start = low(4) + high(4), B.u8(c, base + 256 + 7) + tail.bitwiseAND(3) * 256
     return F.struct(
         i.alias("ord"),
-        F.char(mark.bitwiseAND(127)).alias("directory"),
-        F.when(name == "", " ").otherwise(name).alias("name"),
+        directory.alias("directory"),
+        name.alias("name"),
+        B.full_name(directory, name).alias("full_name"),
         (low(0) + high(2)).alias("load_addr"),
         (low(2) + high(6)).alias("exec_addr"),
-        (low(4) + high(4)).alias("length"),
-        (B.u8(c, base + 256 + 7) + tail.bitwiseAND(3) * 256).alias("start_sector"),
+        length.alias("length"),
+        start.alias("start_sector"),
         (mark >= 128).alias("locked"),
+        F.lit(False).alias("is_directory"),
+        F.when(mark >= 128, A.L).otherwise(0).alias("access"),
+        F.lit(0).alias("sequence"),
+        F.when((start < 2) & (length > 0), "starts in the catalogue").alias("problem"),
     )
 
 
-def dfs_entries(sides: DataFrame) -> DataFrame:
-    """One row a catalogue entry, in catalogue order, of the output of dfs_sides."""
-    slots = F.when(F.col("entry_count") > 0, F.sequence(F.lit(0), F.col("entry_count") - 1)).otherwise(F.array().cast("array<int>"))
-    rows = sides.select("image_id", "side", F.inline(F.transform(slots, lambda i: _dfs_entry(F.col("content"), i))))
-    return rows.select(
-        "*",
-        B.full_name(F.col("directory"), F.col("name")).alias("full_name"),
-        F.lit(False).alias("is_directory"),
-        F.when(F.col("locked"), 8).otherwise(0).alias("access_byte"),
-        F.when(F.col("locked"), "L").otherwise("").alias("access_string"),
-        B.is_basic_exec(F.col("exec_addr")).alias("is_basic"),
-        F.when((F.col("start_sector") < 2) & (F.col("length") > 0), "starts in the catalogue").alias("problem"),
-    )
+def dfs_entries(content: Column, count: Column) -> Column:
+    """Array of ENTRY structs of a flat side, in catalogue order."""
+    return F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), lambda i: _dfs_entry(content, i)))
+
+
+def adfs_entries(content: Column) -> Column:
+    """Array of ENTRY structs of a hierarchical disc, in pre-order, in Arrow batches; null content gives null.
+
+    A directory that an ancestor already is, or that is nested too deep, is
+    reported in problem and not entered.
+    """
+    from platter.sources import discs
+
+    names = [x.split()[0] for x in ENTRY.split(", ")]
+
+    @F.pandas_udf("array<struct<" + ", ".join(":".join(x.split()) for x in ENTRY.split(", ")) + ">>")
+    def walk(contents):
+        out = [
+            None if x is None else [dict(zip(names, (i, *e))) for i, e in enumerate(discs.walk_adfs(bytes(x)))] for x in contents
+        ]
+        return type(contents)(out, index=contents.index)
+
+    return walk(content)
 
 
 def file_bytes(content: Column, start_sector: Column, length: Column) -> Column:
@@ -182,10 +181,9 @@ def file_bytes(content: Column, start_sector: Column, length: Column) -> Column:
     return B.cut(content, start_sector * 256, length)
 
 
-def adfs_map(sides: DataFrame) -> DataFrame:
-    """Free-space map of hierarchical discs: total_sectors, disc_id, boot_option, blocks, free_sectors, problem."""
-    c = F.col("content")
-    zero, one = B.cut(c, 0, 256), B.cut(c, 256, 256)
+def adfs_map(content: Column) -> Column:
+    """Free-space map of a hierarchical disc: total_sectors, disc_id, boot_option, blocks, free_sectors, problem."""
+    zero, one = B.cut(content, 0, 256), B.cut(content, 256, 256)
     count = F.floor(B.u8(one, 254) / 3).cast("int")
     blocks = F.when(
         count > 0,
@@ -195,14 +193,12 @@ def adfs_map(sides: DataFrame) -> DataFrame:
         ),
     ).otherwise(F.array().cast("array<struct<start_sector:int,sectors:int>>"))
     wrong = [B.adfs_checksum(s) != B.u8(s, 255) for s in (zero, one)]
-    total = F.aggregate(blocks, F.lit(0), lambda t, b: t + b["sectors"])
-    return sides.where("format = 'adfs'").select(
-        "*",
+    return F.struct(
         B.u24(zero, 0xFC).alias("total_sectors"),
         B.u16(one, 0xFB).alias("disc_id"),
         B.u8(one, 0xFD).bitwiseAND(3).alias("boot_option"),
         blocks.alias("blocks"),
-        total.alias("free_sectors"),
+        F.aggregate(blocks, F.lit(0), lambda t, b: t + b["sectors"]).alias("free_sectors"),
         F.when(wrong[0], "checksum of map sector 0").when(wrong[1], "checksum of map sector 1").alias("problem"),
     )
 
@@ -231,7 +227,6 @@ def adfs_directory(block: Column) -> Column:
             B.u8(block, slot(i) + 25).alias("sequence"),
         )
 
-    entries = F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), entry)).otherwise(F.array())
     problem = (
         F.when(B.cut(block, 1, 4) != F.lit(HUGO), "header mark")
         .when(B.cut(block, 0x4FB, 4) != F.lit(HUGO), "footer mark")
@@ -247,99 +242,87 @@ def adfs_directory(block: Column) -> Column:
     )
 
 
-ENTRY_SCHEMA = (
-    "image_id string, side int, ord int, directory string, name string, full_name string, load_addr long, exec_addr long, "
-    "length long, start_sector int, locked boolean, is_directory boolean, access int, sequence int, problem string"
-)
-
-
-def adfs_entries(sides: DataFrame) -> DataFrame:
-    """Entries of all directories of an image in pre-order, one Arrow pass a batch of images.
-
-    A directory that an ancestor already is, or that is nested too deep, is
-    reported in problem and not entered.
-    """
-    from platter.sources import discs
-
-    def walk(batches):
-        import pandas as pd
-
-        for batch in batches:
-            rows = []
-            for image, side, content in zip(batch.image_id, batch.side, batch.content):
-                for i, e in enumerate(discs.walk_adfs(bytes(content))):
-                    rows.append((image, side, i, *e))
-            names = [x.split()[0] for x in ENTRY_SCHEMA.split(", ")]
-            yield pd.DataFrame(rows, columns=names)
-
-    found = sides.where("format = 'adfs'").select("image_id", "side", "content").mapInPandas(walk, ENTRY_SCHEMA)
-    from platter.functions import access as A
-
-    return found.select(
-        "*",
-        A.to_sidecar(F.col("access")).alias("access_byte"),
-        A.access_string(F.col("access"), F.col("is_directory")).alias("access_string"),
-        (~F.col("is_directory") & B.is_basic_exec(F.col("exec_addr"))).alias("is_basic"),
-    )
-
-
 COMMON = (
     "image_id side ord directory name full_name load_addr exec_addr length start_sector locked is_directory access_byte "
     "access_string is_basic problem"
 ).split()
 
 
-def entries(images: DataFrame) -> DataFrame:
-    """Entries of both filing systems with their common columns."""
-    sides = surfaces(images)
-    flat = dfs_entries(dfs_sides(sides)).select(*COMMON)
-    return flat.unionByName(adfs_entries(sides).select(*COMMON))
-
-
-def side_info(images: DataFrame) -> DataFrame:
-    """A row a side: title, cycle, boot_option, disc_size, tracks, entry_count, free_bytes, free_sectors, problem.
+def catalogues(images: DataFrame) -> DataFrame:
+    """A row a side with its catalogue as columns: title, cycle, boot_option, disc_size, tracks, free_sectors,
+    problem, entries (array of ENTRY) and the linear content. One narrow pass over the images, without a shuffle.
 
     Free space of a flat disc is what lies after its last file; of a
     hierarchical one the sum of its free blocks.
     """
     sides = surfaces(images)
-    flat = dfs_sides(sides)
-    ends = (
-        dfs_entries(flat)
-        .groupBy("image_id", "side")
-        .agg(F.max(F.when(F.col("length") > 0, F.col("start_sector") + B.sectors(F.col("length")))).alias("end"))
+    c, flat = F.col("content"), F.col("format") == "dfs"
+    stored, derived = _recorded_sectors(c), F.floor(F.length(c) / 256).cast("int")
+    trusted = stored.isin(400, 800) | ~F.floor(derived / 10).isin(40, 80)
+    offset = B.u8(c, 256 + 5)
+    count = F.when((offset % 8 == 0) & (offset <= 248), F.floor(offset / 8).cast("int"))
+    none = F.array().cast("array<struct<" + ", ".join(":".join(x.split()) for x in ENTRY.split(", ")) + ">>")
+    listed = sides.withColumn("__tree", adfs_entries(F.when(~flat, c))).withColumns(
+        {
+            "entries": F.coalesce(F.when(flat, dfs_entries(c, count)).otherwise(F.col("__tree")), none),
+            "__root": F.when(~flat, adfs_directory(B.cut(c, 512, 1280))),
+            "__map": F.when(~flat, adfs_map(c)),
+        }
+    )
+    size = F.when(flat, F.when(trusted, stored).otherwise(derived)).otherwise(F.col("__map.total_sectors"))
+    ends = F.transform("entries", lambda e: F.when(e["length"] > 0, e["start_sector"] + B.sectors(e["length"])).otherwise(F.lit(2).cast("long")))
+    above = F.greatest(F.lit(0).cast("long"), size - F.greatest(F.lit(2).cast("long"), F.coalesce(F.array_max(ends), F.lit(2).cast("long"))))
+    title = F.regexp_replace(B.seven_bit(F.concat(B.cut(c, 0, 8), B.cut(c, 256, 4))), r"[\x00 ]+\z", "")
+    problem = (
+        F.when(offset % 8 != 0, "file offset isn't a multiple of 8")
+        .when(offset > 248, "more than 31 files")
+        .when(size != stored, "stored size replaced by the image's")
     )
-    free = F.greatest(F.lit(0).cast("long"), F.col("disc_size") - F.greatest(F.lit(2).cast("long"), F.coalesce("end", F.lit(2).cast("long"))))
-    a = flat.drop("content").join(ends, ["image_id", "side"], "left").select(
-        "image_id", "side", "format", "title", "cycle", "boot_option", "disc_size", "tracks", "entry_count", free.alias("free_sectors"), "problem"
+    return listed.select(
+        "image_id",
+        "side",
+        "side_count",
+        "format",
+        F.when(flat, title).otherwise(F.col("__root.title")).alias("title"),
+        F.when(flat, B.u8(c, 256 + 4)).otherwise(F.col("__root.sequence")).alias("cycle"),
+        F.when(flat, F.shiftright(B.u8(c, 256 + 6), 4).bitwiseAND(3)).otherwise(F.col("__map.boot_option")).alias("boot_option"),
+        size.alias("disc_size"),
+        F.floor(size / F.when(flat, 10).otherwise(16)).cast("int").alias("tracks"),
+        F.when(flat, above).otherwise(F.col("__map.free_sectors").cast("long")).alias("free_sectors"),
+        F.when(flat, problem).otherwise(F.coalesce("__map.problem", "__root.problem")).alias("problem"),
+        "entries",
+        "content",
     )
-    root = adfs_directory(B.cut(F.col("content"), 512, 1280))
-    counted = adfs_entries(sides).groupBy("image_id", "side").agg(F.count("*").cast("int").alias("entry_count"))
-    b = (
-        adfs_map(sides)
-        .withColumn("root", root)
-        .join(counted, ["image_id", "side"], "left")
-        .select(
-            "image_id",
-            "side",
-            "format",
-            F.col("root.title").alias("title"),
-            F.col("root.sequence").alias("cycle"),
-            "boot_option",
-            F.col("total_sectors").alias("disc_size"),
-            F.floor(F.col("total_sectors") / 16).cast("int").alias("tracks"),
-            F.coalesce("entry_count", F.lit(0)).alias("entry_count"),
-            F.col("free_sectors").cast("long").alias("free_sectors"),
-            F.coalesce("problem", F.col("root.problem")).alias("problem"),
-        )
+
+
+def side_info(images: DataFrame) -> DataFrame:
+    """A row a side: title, cycle, boot_option, disc_size, tracks, entry_count, free_sectors, free_bytes, problem."""
+    return catalogues(images).select(
+        "image_id", "side", "format", "title", "cycle", "boot_option", "disc_size", "tracks", F.size("entries").alias("entry_count"),
+        "free_sectors", (F.col("free_sectors") * 256).alias("free_bytes"), "problem",
+    )
+
+
+def _listed(images: DataFrame, *more: str) -> DataFrame:
+    rows = catalogues(images).select("image_id", "side", *more, F.inline("entries"))
+    flat = F.col("format") == "dfs"
+    return rows.withColumns(
+        {
+            "access_byte": F.when(flat, F.when(F.col("locked"), 8).otherwise(0)).otherwise(A.to_sidecar(F.col("access"))),
+            "access_string": F.when(flat, F.when(F.col("locked"), "L").otherwise("")).otherwise(
+                A.access_string(F.col("access"), F.col("is_directory"))
+            ),
+            "is_basic": ~F.col("is_directory") & B.is_basic_exec(F.col("exec_addr")),
+        }
     )
-    return a.unionByName(b).withColumn("free_bytes", F.col("free_sectors") * 256)
+
+
+def entries(images: DataFrame) -> DataFrame:
+    """Entries of both filing systems."""
+    return _listed(images, "format").select(*COMMON)
 
 
 def files(images: DataFrame) -> DataFrame:
-    """Entries that aren't directories, with their data."""
-    sides = surfaces(images)
-    where = entries(images).where("not is_directory")
-    return where.join(sides.select("image_id", "side", "format", "content"), ["image_id", "side"]).select(
-        *COMMON, "format", file_bytes(F.col("content"), F.col("start_sector"), F.col("length")).alias("data")
-    )
+    """Entries that aren't directories, with their data: a substring of the side in the same row."""
+    data = file_bytes(F.col("content"), F.col("start_sector"), F.col("length"))
+    return _listed(images, "format", "side_count", "content").where("not is_directory").select(*COMMON, "format", "side_count", data.alias("data"))
