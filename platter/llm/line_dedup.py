@@ -261,7 +261,7 @@ def _probe(folder: str, shards: int, hashes: list[int], ids: np.ndarray) -> np.n
 
 def _clean(batch: pa.RecordBatch, folder: str, shards: int, min_chars: int) -> tuple[list[str], list[int], list[int]]:
     """Kept text, lines before and lines dropped of each row."""
-    ids = batch.column("__k").to_pylist()
+    ids = batch.column(_KEY).to_pylist()
     split = [(t or "").split("\n") for t in batch.column("text").to_pylist()]
     place: list[tuple[int, int]] = []
     hashes: list[int] = []
@@ -281,8 +281,11 @@ def _clean(batch: pa.RecordBatch, folder: str, shards: int, min_chars: int) -> t
     return kept, [len(x) for x in split], [len(drop.get(n, ())) for n in range(len(split))]
 
 
+_KEY = "__line_dedup_key"  # beside the columns of documents
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("__k", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)))
+    return docs.withColumn(_KEY, F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)))
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -298,7 +301,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         kept, _, dropped = _clean(batch, folder, shards, min_chars)
         columns = dict(zip(batch.schema.names, batch.columns))
-        del columns["__k"]
+        del columns[_KEY]
         texts = [k if n else t for k, n, t in zip(kept, dropped, columns["text"].to_pylist())]
         columns["text"] = pa.array(texts, pa.string())
         if "n_chars" in columns:
