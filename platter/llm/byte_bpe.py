@@ -19,7 +19,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from functools import cache
+from itertools import islice
 
 import pyarrow as pa
 import regex
@@ -28,7 +30,10 @@ from pyspark.sql import DataFrame
 from platter.llm._common import as_binary, map_batches
 
 #: Words remembered by a process.
-MEMO_WORDS = 250_000
+MEMO_WORDS = 300_000
+_COMMON_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: A word that _COMMON_PATTERN cuts before its point, if it has one.
+_SIMPLE = re.compile(r"( ?[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+)([.,;:!?]?)")
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -44,6 +49,7 @@ class BytePairEncoder:
         self._split: dict[int, tuple[int, int]] = {}
         self._pair: dict[tuple[int, int], int] = {}
         self._fits: dict[tuple[int, int], bool] = {}
+        self._prefix: dict[int, int | None] = {}
         usable = []
         for token, rank in sorted(ranks.items(), key=lambda x: x[1]):
             if len(token) == 1:
@@ -72,15 +78,26 @@ class BytePairEncoder:
         return self.ranks[parts[0]], self.ranks[parts[1]]
 
     def _automaton(self, tokens: list[bytes]):
-        """Tokens reversed, in Latin-1: matches that end at e in the reversed piece start at its mirror."""
         import ahocorasick
 
         made = ahocorasick.Automaton()
         for t in tokens:
-            made.add_word(t[::-1].decode("latin-1"), (len(t), self.ranks[t]))
+            made.add_word(t.decode("latin-1"), self.ranks[t])
         made.make_automaton()
         return made
 
+    def _shorter(self, token: int) -> int | None:
+        """The longest usable token that is a proper prefix of this one."""
+        if token not in self._prefix:
+            data, found = self.bytes_of[token], None
+            for n in range(len(data) - 1, 0, -1):
+                rank = self.ranks.get(data[:n])
+                if rank is not None and rank in self._split:
+                    found = rank
+                    break
+            self._prefix[token] = found
+        return self._prefix[token]
+
     def fits(self, left: int, right: int) -> bool:
         """Whether merging the bytes of both tokens by rank gives these two and no other."""
         known = self._fits.get((left, right))
@@ -115,40 +132,49 @@ class BytePairEncoder:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        n = len(piece)
-        # tokens that start at each position, longest first
-        starts: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-        for end, found in self._longest.iter(piece[::-1].decode("latin-1")):
-            starts[n - 1 - end].append(found)
+        text = piece.decode("latin-1")
+        # The longest match at each place in turn: mostly all neighbours are compatible.
+        out = [token for _, token in self._longest.iter_long(text)]
+        fits = self._fits.get
+        for pair in zip(out, out[1:]):
+            known = fits(pair)
+            if not (self.fits(*pair) if known is None else known):
+                return self._backtrack(text)
+        if not out or sum([len(self.bytes_of[t]) for t in out]) != len(piece):
+            raise ValueError("the vocabulary lacks a byte")
+        return out
+
+    def _backtrack(self, text: str) -> list[int]:
+        n, at = len(text), 0
         out: list[int] = []
-        ends = [0]
-        tried = [0] * n
         dead = bytearray(n + 1)
-        at = 0
+        token: int | None = self._at(text, 0)
         while at < n:
-            options = starts[at]
-            i = tried[at]
-            while i < len(options):
-                length, token = options[i]
-                i += 1
-                if not dead[at + length] and (not out or self.fits(out[-1], token)):
-                    tried[at] = i
-                    out.append(token)
-                    at += length
-                    ends.append(at)
-                    if at < n:
-                        tried[at] = 0
-                    break
-            else:
+            end = at + len(self.bytes_of[token]) if token is not None else 0
+            if token is None:
                 if not out:
                     raise ValueError("the vocabulary lacks a byte")
-                # Nothing goes on from here after out[-1], nor after any token that is compatible this far.
-                dead[at] = 1
-                out.pop()
-                ends.pop()
-                at = ends[-1]
+                dead[at] = 1  # nothing goes on from here, whatever compatible token ends here
+                token = out.pop()
+                at -= len(self.bytes_of[token])
+                token = self._shorter(token)
+            elif not dead[end] and (not out or self.fits(out[-1], token)):
+                out.append(token)
+                at = end
+                if at < n:
+                    token = self._at(text, at)
+            else:
+                token = self._shorter(token)
         return out
 
+    def _at(self, text: str, at: int) -> int:
+        """The longest token that starts at a place."""
+        for end, token in self._longest.iter_long(text, at):
+            if end + 1 - len(self.bytes_of[token]) != at:
+                break
+            return token
+        raise ValueError("the vocabulary lacks a byte")
+
     def encode(self, text: str) -> list[int]:
         return [t for piece in self.pattern.findall(text) for t in self.encode_piece(as_binary(piece))]
 
@@ -175,7 +201,7 @@ def words_of(text: str) -> list[str] | None:
 
 
 class Memo(dict):
-    """Word to what `make` gives for it, emptied when it is full."""
+    """Word to what `make` gives for it; when it is full, the newer half goes: frequent words come early."""
 
     def __init__(self, make, most: int = MEMO_WORDS):
         super().__init__()
@@ -183,19 +209,29 @@ class Memo(dict):
 
     def __missing__(self, word: str):
         if len(self) >= self.most:
-            self.clear()
+            for old in list(islice(self, self.most // 2, None)):
+                del self[old]
         made = self[word] = self.make(word)
         return made
 
 
 @cache
 def _memos(path: str, pattern: str) -> tuple[Memo, Memo]:
-    """Pieces to ids; words to their decimal ids joined by commas and the bytes that these decode to."""
+    """Pieces to ids; words to their decimal ids joined by commas, the bytes that these decode to, their number."""
     e = encoder(path, pattern)
     pieces = Memo(lambda piece: tuple(e.encode_piece(as_binary(piece))))
+    common = pattern == _COMMON_PATTERN
 
     def word(text: str) -> tuple[str, bytes, int]:
-        ids = [t for piece in e.pattern.findall(text) for t in pieces[piece]]
+        # Latin letters and a point: what the pattern's own engine would find, without its cost
+        simple = _SIMPLE.fullmatch(text) if common else None
+        if simple is None:
+            ids = [t for piece in e.pattern.findall(text) for t in pieces[piece]]
+        else:
+            letters, point = simple.groups()
+            ids = e.encode_piece(letters.encode())
+            if point:
+                ids = [*ids, *pieces[point]]
         return ",".join(map(str, ids)), e.decode(ids), len(ids)
 
     return pieces, Memo(word)
