@@ -302,6 +302,17 @@ def decode_directory(raw: bytes) -> Directory:
     return out
 
 
+def list_dfs(catalogue: bytes):
+    """Rows like walk_adfs's of the 512 bytes of a flat catalogue; none of a broken one."""
+    try:
+        found = DfsSide(catalogue).files
+    except (DiscError, IndexError):
+        return
+    for f in found:
+        problem = "starts in the catalogue" if f.start_sector < 2 and f.length else None
+        yield (f.directory, f.name, f.path, f.load_addr, f.exec_addr, f.length, f.start_sector, f.locked, False, f.access, 0, problem)
+
+
 def walk_adfs(content: bytes):
     """(directory, name, full name, load, exec, length, start, locked, is_directory, access, sequence, problem) in pre-order."""
 

@@ -1,8 +1,8 @@
 """Disc images as tables: images, surfaces and, for flat catalogues, sides and entries.
 
-Everything here is built-in expressions over `binaryFile` rows: a row is an
-image, so parallelism comes from their number, and columns that a query doesn't
-ask for are never decoded. Bytes of sides are made linear once, after which every
+A row is an image, so parallelism comes from their number, and columns that a
+query doesn't ask for are never decoded. Formats, titles, maps, free space and
+file bytes are built-in expressions; catalogue rows are listed in Arrow batches. Bytes of sides are made linear once, after which every
 file is one substring of its row.
 """
 
@@ -124,41 +124,11 @@ ENTRY = (
 )
 
 
-def _dfs_entry(c: Column, i: Column) -> Column:
-    base = i * 8 + 8
-    tail = B.u8(c, base + 256 + 6)
-    mark = B.u8(c, base + 7)
-    high = lambda n: F.shiftright(tail, n).bitwiseAND(3).cast("long") * 65536
-    low = lambda at: B.u8(c, base + 256 + at).cast("long") + B.u8(c, base + 256 + at + 1).cast("long") * 256
-    bare = F.regexp_replace(B.seven_bit(B.cut(c, base, 7)), " +\\z", "")
-    name = F.when(bare == "", " ").otherwise(bare)
-    directory = F.char(mark.bitwiseAND(127))
-    length, start = low(4) + high(4), B.u8(c, base + 256 + 7) + tail.bitwiseAND(3) * 256
-    return F.struct(
-        i.alias("ord"),
-        directory.alias("directory"),
-        name.alias("name"),
-        B.full_name(directory, name).alias("full_name"),
-        (low(0) + high(2)).alias("load_addr"),
-        (low(2) + high(6)).alias("exec_addr"),
-        length.alias("length"),
-        start.alias("start_sector"),
-        (mark >= 128).alias("locked"),
-        F.lit(False).alias("is_directory"),
-        F.when(mark >= 128, A.L).otherwise(0).alias("access"),
-        F.lit(0).alias("sequence"),
-        F.when((start < 2) & (length > 0), "starts in the catalogue").alias("problem"),
-    )
-
-
-def dfs_entries(content: Column, count: Column) -> Column:
-    """Array of ENTRY structs of a flat side, in catalogue order."""
-    return F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), lambda i: _dfs_entry(content, i)))
-
-
-def adfs_entries(content: Column) -> Column:
-    """Array of ENTRY structs of a hierarchical disc, in pre-order, in Arrow batches; null content gives null.
+def listed_entries(flat: Column, content: Column) -> Column:
+    """Array of ENTRY structs of each side, in Arrow batches: catalogue order of flat sides, pre-order of trees.
 
+    A flat side sends its catalogue of 512 bytes alone. Nested lambdas over
+    bytes run interpreted and took some hundred times as long for the same rows.
     A directory that an ancestor already is, or that is nested too deep, is
     reported in problem and not entered.
     """
@@ -167,13 +137,14 @@ def adfs_entries(content: Column) -> Column:
     names = [x.split()[0] for x in ENTRY.split(", ")]
 
     @F.pandas_udf("array<struct<" + ", ".join(":".join(x.split()) for x in ENTRY.split(", ")) + ">>")
-    def walk(contents):
-        out = [
-            None if x is None else [dict(zip(names, (i, *e))) for i, e in enumerate(discs.walk_adfs(bytes(x)))] for x in contents
-        ]
+    def walk(kind, contents):
+        out = []
+        for is_flat, x in zip(kind, contents):
+            rows = discs.list_dfs(bytes(x)) if is_flat else discs.walk_adfs(bytes(x))
+            out.append([dict(zip(names, (i, *e))) for i, e in enumerate(rows)])
         return type(contents)(out, index=contents.index)
 
-    return walk(content)
+    return walk(flat, F.when(flat, B.cut(content, 0, 512)).otherwise(content))
 
 
 def file_bytes(content: Column, start_sector: Column, length: Column) -> Column:
@@ -227,18 +198,22 @@ def adfs_directory(block: Column) -> Column:
             B.u8(block, slot(i) + 25).alias("sequence"),
         )
 
-    problem = (
-        F.when(B.cut(block, 1, 4) != F.lit(HUGO), "header mark")
-        .when(B.cut(block, 0x4FB, 4) != F.lit(HUGO), "footer mark")
-        .when(B.u8(block, 0) != B.u8(block, 0x4FA), "sequence numbers differ")
-    )
     return F.struct(
         B.terminated(B.seven_bit(B.cut(block, 0x4CC, 10))).alias("name"),
         B.terminated(B.seven_bit(B.cut(block, 0x4D9, 19))).alias("title"),
         B.u24(block, 0x4D6).alias("parent_sector"),
         B.u8(block, 0).alias("sequence"),
         F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), entry)).alias("entries"),
-        problem.alias("problem"),
+        directory_problem(block).alias("problem"),
+    )
+
+
+def directory_problem(block: Column) -> Column:
+    """What is wrong with a directory's marks, or null."""
+    return (
+        F.when(B.cut(block, 1, 4) != F.lit(HUGO), "header mark")
+        .when(B.cut(block, 0x4FB, 4) != F.lit(HUGO), "footer mark")
+        .when(B.u8(block, 0) != B.u8(block, 0x4FA), "sequence numbers differ")
     )
 
 
@@ -260,12 +235,9 @@ def catalogues(images: DataFrame) -> DataFrame:
     stored, derived = _recorded_sectors(c), F.floor(F.length(c) / 256).cast("int")
     trusted = stored.isin(400, 800) | ~F.floor(derived / 10).isin(40, 80)
     offset = B.u8(c, 256 + 5)
-    count = F.when((offset % 8 == 0) & (offset <= 248), F.floor(offset / 8).cast("int"))
-    none = F.array().cast("array<struct<" + ", ".join(":".join(x.split()) for x in ENTRY.split(", ")) + ">>")
-    listed = sides.withColumn("__tree", adfs_entries(F.when(~flat, c))).withColumns(
+    listed = sides.withColumns(
         {
-            "entries": F.coalesce(F.when(flat, dfs_entries(c, count)).otherwise(F.col("__tree")), none),
-            "__root": F.when(~flat, adfs_directory(B.cut(c, 512, 1280))),
+            "entries": listed_entries(flat, c),
             "__map": F.when(~flat, adfs_map(c)),
         }
     )
@@ -283,13 +255,13 @@ def catalogues(images: DataFrame) -> DataFrame:
         "side",
         "side_count",
         "format",
-        F.when(flat, title).otherwise(F.col("__root.title")).alias("title"),
-        F.when(flat, B.u8(c, 256 + 4)).otherwise(F.col("__root.sequence")).alias("cycle"),
+        F.when(flat, title).otherwise(B.terminated(B.seven_bit(B.cut(c, 512 + 0x4D9, 19)))).alias("title"),
+        F.when(flat, B.u8(c, 256 + 4)).otherwise(B.u8(c, 512)).alias("cycle"),
         F.when(flat, F.shiftright(B.u8(c, 256 + 6), 4).bitwiseAND(3)).otherwise(F.col("__map.boot_option")).alias("boot_option"),
         size.alias("disc_size"),
         F.floor(size / F.when(flat, 10).otherwise(16)).cast("int").alias("tracks"),
         F.when(flat, above).otherwise(F.col("__map.free_sectors").cast("long")).alias("free_sectors"),
-        F.when(flat, problem).otherwise(F.coalesce("__map.problem", "__root.problem")).alias("problem"),
+        F.when(flat, problem).otherwise(F.coalesce(F.col("__map.problem"), directory_problem(B.cut(c, 512, 1280)))).alias("problem"),
         "entries",
         "content",
     )
