@@ -56,11 +56,28 @@ def _apply(sides: list, c: dict) -> int | None:
     return None
 
 
+def _listed(commands: DataFrame) -> DataFrame:
+    names = [x.split()[0] for x in COMMANDS.split(", ")]
+    return commands.select(*names).groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct(*names[1:]))).alias("commands"))
+
+
+def _run(sides: list, todo, log: list[dict]) -> bool:
+    """Applies commands in turn; whether one of them changed something."""
+    changed = False
+    for c in todo:
+        c = {k: _plain(v) for k, v in (c if isinstance(c, dict) else c.asDict()).items()}
+        try:
+            won, error = _apply(sides, c), None
+            changed = True
+        except ValueError as e:
+            won, error = None, str(e)
+        log.append({"seq": c["seq"], "op": c["op"], "path": c["path"], "won": won, "error": error})
+    return changed
+
+
 def apply_commands(images: DataFrame, commands: DataFrame) -> DataFrame:
     """image_id, content, changed and log of every image; images without commands pass through."""
     known = detect_format(images.select("image_id", "ext", "content"))
-    names = [x.split()[0] for x in COMMANDS.split(", ")]
-    listed = commands.select(*names).groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct(*names[1:]))).alias("commands"))
 
     def run(batches: Iterator):
         import pandas as pd
@@ -69,27 +86,42 @@ def apply_commands(images: DataFrame, commands: DataFrame) -> DataFrame:
             rows = []
             for r in batch.itertuples(index=False):
                 content, log, changed = bytes(r.content), [], False
-                try:
-                    sides = discs.open_image(content, r.format, bool(r.double_sided)) if r.commands is not None else []
-                except (discs.DiscError, IndexError) as e:
-                    sides, log = [], [{"seq": None, "op": "open", "path": None, "won": None, "error": str(e)}]
-                for c in r.commands if r.commands is not None and sides else []:
-                    c = {k: _plain(v) for k, v in (c if isinstance(c, dict) else c.asDict()).items()}
+                if r.commands is not None:
                     try:
-                        won, error = _apply(sides, c), None
-                        changed = True
-                    except ValueError as e:
-                        won, error = None, str(e)
-                    log.append({"seq": c["seq"], "op": c["op"], "path": c["path"], "won": won, "error": error})
-                if changed:
-                    content = discs.image_bytes(sides, bool(r.double_sided))
+                        sides = discs.open_image(content, r.format, bool(r.double_sided))
+                        if changed := _run(sides, r.commands, log):
+                            content = discs.image_bytes(sides, bool(r.double_sided))
+                    except (discs.DiscError, IndexError) as e:
+                        log.append({"seq": None, "op": "open", "path": None, "won": None, "error": str(e)})
                 rows.append((r.image_id, content, changed, log))
             yield pd.DataFrame(rows, columns=["image_id", "content", "changed", "log"])
 
-    joined = known.select("image_id", "format", "double_sided", "content").join(listed, "image_id", "left")
+    joined = known.select("image_id", "format", "double_sided", "content").join(_listed(commands), "image_id", "left")
     return joined.mapInPandas(run, RESULT)
 
 
+def new_images(commands: DataFrame, ext: str, tracks: int = 80, title: str = "", boot_option: int = 0) -> DataFrame:
+    """image_id, ext, content and log of a new image for each image_id that commands name, with these applied.
+
+    One shuffle of the commands; blank discs are made where they are filled.
+    """
+    blank = discs.blank_image(ext, tracks, title, boot_option)
+    double, kind = ext in (".dsd", ".adl"), "dfs" if ext in (".ssd", ".dsd") else "adfs"
+
+    def run(batches: Iterator):
+        import pandas as pd
+
+        for batch in batches:
+            rows = []
+            for image_id, todo in zip(batch.image_id, batch.commands):
+                sides, log = discs.open_image(blank, kind, double), []
+                _run(sides, todo, log)
+                rows.append((image_id, ext, discs.image_bytes(sides, double), log))
+            yield pd.DataFrame(rows, columns=["image_id", "ext", "content", "log"])
+
+    return _listed(commands).mapInPandas(run, RESULT.replace("content binary, changed boolean", "ext string, content binary"))
+
+
 def commands(spark: SparkSession, rows: list[dict]) -> DataFrame:
     """A table of commands from dicts; seq defaults to the place in the list."""
     names = [x.split()[0] for x in COMMANDS.split(", ")]

@@ -179,9 +179,13 @@ def search(
     use_regex: bool = False,
     engine: str = "java",
     version: str = "II",
+    ordered: bool = True,
 ) -> DataFrame:
     """Lines of tokenized programs that match: image_id, side, full_name, line_number, line, in disc order.
 
+    That order is a sort of the matches, whose ranges are sampled by a run of
+    the whole query: ordered=False saves both.
+
     The exec address gates first; filename is a full or a bare name, its case
     counts; the number isn't searched.
     """
@@ -191,6 +195,8 @@ def search(
     scope = scope.where(program_size(F.col("data")) > 0)
     found = lines(scope.select("image_id", "side", "ord", "full_name", "data"), pretty, version)
     found = found.where(matches(F.col("text"), pattern, ignore_case, use_regex, engine))
-    return found.orderBy("image_id", "side", "ord", "line_ord").select(
+    if ordered:
+        found = found.orderBy("image_id", "side", "ord", "line_ord")
+    return found.select(
         "image_id", "side", "full_name", "line_number", F.col("text").alias("line")
     )

@@ -482,10 +482,7 @@ def _volumes(spark: SparkSession, d: str) -> DataFrame:
 
 def _built(commands: DataFrame, ext: str) -> DataFrame:
     """New 40-track images of an extension with the commands applied."""
-    specs = commands.select("image_id").distinct().select(
-        "image_id", F.lit(ext).alias("ext"), F.lit(40).alias("tracks"), F.lit("").alias("title"), F.lit(0).alias("boot_option")
-    )
-    return mutate.apply_commands(mutate.blank_images(specs), commands).select("image_id", F.lit(ext).alias("ext"), "content")
+    return mutate.new_images(commands, ext, tracks=40)
 
 
 @_query(f"""
@@ -557,7 +554,7 @@ def search_images(spark, d):
         "image_id", *(v.alias(k) for k, v in blank.items()), F.col("p.data").alias("data"), F.lit(0xE00).cast("long").alias("load_addr"),
         F.lit(0x8023).cast("long").alias("exec_addr"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("int").alias("number"),
     )
-    found = programs.search(images.files(_built(add, ".ssd")), "erth")
+    found = programs.search(images.files(_built(add, ".ssd")), "erth", ordered=False)
     key = F.split("image_id", "-")
     return found.select(
         key[0].cast("long").alias("doc_id"),
