@@ -9,12 +9,8 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-#: Word of the shingle operators, after A-Z have been lower-cased.
-WORD = r"[^\x20\x09-\x0D]+"
 SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
-ASCII_LOWER = {i: i + 32 for i in range(65, 91)}
 MASK64 = (1 << 64) - 1
 
 
@@ -31,12 +27,16 @@ class Scratch:
     """Written tables of one operator call, below the shared folder.
 
     A table cuts lineage: executors may be lost and the rows are read again,
-    not computed again. `drop` deletes a table that later steps don't need.
+    not computed again. `drop` deletes a table that later steps don't need; what
+    results still read is deleted by `clear_scratch`.
     """
 
+    roots: list[str] = []
+
     def __init__(self, spark: SparkSession, what: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+        Scratch.roots.append(self.root)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -46,9 +46,18 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, name: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(self.path(name))
-        where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        _delete(self.spark, self.path(name))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Deletes all that this process's operators wrote to the shared folder; their results can't be read after it."""
+    while Scratch.roots:
+        _delete(spark, Scratch.roots.pop())
 
 
 def partitions(spark: SparkSession) -> int:
@@ -87,7 +96,3 @@ def slices(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatc
     step = max(1, rows * most // max(batch.nbytes, 1))
     for at in range(0, rows, step):
         yield batch.slice(at, step)
-
-
-def long_or_null(name: str):
-    return F.col(name).cast("long")

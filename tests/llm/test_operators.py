@@ -517,3 +517,17 @@ def test_pii_table(docs, empty):
 
 def test_added_columns_clash(docs):
     assert fingerprint.fingerprint(docs.withColumn("fingerprint", F.lit(1))).count() == len(DOCS)
+
+
+def test_scratch_is_cleared(spark):
+    from pathlib import Path
+
+    from platter.llm import _common
+
+    scratch = Scratch(spark, "t")
+    assert scratch.table(spark.range(3), "three").count() == 3
+    at = Path(scratch.path("three").removeprefix("file:"))
+    assert at.exists()
+    mine, _common.Scratch.roots[:] = [scratch.root], [scratch.root]
+    _common.clear_scratch(spark)
+    assert not at.exists() and mine and not _common.Scratch.roots
