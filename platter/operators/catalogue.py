@@ -78,7 +78,8 @@ def directory_prefixes(df: DataFrame, path: str, separator: str = ".", group: li
 def walk_tree(nodes: DataFrame, key: str, parent: str, name: str, most_levels: int = 100) -> DataFrame:
     """key, depth from 0 and path of every node under roots, whose parent is null; for trees of bounded depth.
 
-    A level is one join with the nodes. A cycle isn't reached from a root.
+    A level is one join with the nodes; beyond 8 levels each is looked at before
+    the next is added. A cycle isn't reached from a root.
     """
     level = nodes.where(F.col(parent).isNull()).select(F.col(key).alias("key"), F.lit(0).alias("depth"), F.col(name).alias("path"))
     out, n = level, 0
@@ -89,7 +90,7 @@ def walk_tree(nodes: DataFrame, key: str, parent: str, name: str, most_levels: i
             .join(level, "key")
             .select(F.col("child").alias("key"), F.lit(n).alias("depth"), F.concat("path", F.lit("."), "leaf").alias("path"))
         )
-        if n < most_levels and level.isEmpty():
+        if 8 <= n < most_levels and level.isEmpty():
             break
         out = out.unionByName(level)
     return out

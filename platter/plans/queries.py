@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from platter.functions import access as A
 from platter.functions import bytes as B
 from platter.operators import catalogue, mutate, programs, sidecars, space
-from platter.sources import images
+from platter.sources import images, tree
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -419,16 +419,16 @@ def catalogue_pack_unpack(spark, d):
 
 
 @_query("""
-SELECT doc_id, 16 * CAST(ceil(greatest(a, b) / 16.0) AS BIGINT) * 2 AS merged, true AS first_returns, true AS second_returns
+SELECT doc_id, 2560 * CAST(ceil(greatest(a, b) / 2560.0) AS BIGINT) * 2 AS merged, true AS first_returns, true AS second_returns
 FROM (SELECT doc_id, strlen(text) AS a, strlen(lang || text) AS b FROM documents)
 """)
 def interleave_roundtrip(spark, d):
-    """Texts as surfaces of 16-byte tracks, filled up with zeros, merged and split again."""
+    """Texts as surfaces of whole tracks, filled up with zeros, merged and split again."""
     docs = _read(spark, d, "documents").select("doc_id", F.encode("text", "UTF-8").alias("a"), F.encode(F.concat("lang", "text"), "UTF-8").alias("b"))
-    size = (F.ceil(F.greatest(F.length("a"), F.length("b")) / 16) * 16).cast("int")
+    size = (F.ceil(F.greatest(F.length("a"), F.length("b")) / images.TRACK) * images.TRACK).cast("int")
     docs = docs.select("doc_id", *(F.rpad(c, size, F.lit(b"\0")).alias(c) for c in ("a", "b")))
-    docs = docs.withColumn("whole", images.interleave(F.col("a"), F.col("b"), 16))
-    back = [images.deinterleave(F.col("whole"), i, 16) for i in (0, 1)]
+    docs = docs.withColumn("whole", images.interleave(F.col("a"), F.col("b")))
+    back = [images.deinterleave(F.col("whole"), i) for i in (0, 1)]
     return docs.select(
         "doc_id", F.length("whole").cast("long").alias("merged"), (back[0] == F.col("a")).alias("first_returns"), (back[1] == F.col("b")).alias("second_returns")
     )
@@ -523,6 +523,56 @@ def side_info(spark, d):
     return info.select("image_id", "side", "disc_size", "tracks", "entry_count", "free_sectors", "free_bytes")
 
 
+@_query(f"""
+WITH left_over AS (SELECT *, doc_id % 5 AS what FROM ({_NUMBERED}) WHERE doc_id % 5 <> 0)
+SELECT source || '-' || CAST(volume AS BIGINT) AS image_id, CASE WHEN what = 1 THEN 'E.R' ELSE 'D.F' END || doc_id AS full_name,
+  CASE WHEN what = 3 THEN 57005 ELSE doc_id % 262144 END AS load_addr,
+  CAST(1 + row_number() OVER (PARTITION BY source, volume ORDER BY place) AS INTEGER) AS start_sector,
+  what = 2 OR doc_id % 2 = 0 AS locked, md5(text) AS digest
+FROM left_over
+""")
+def image_commands(spark, d):
+    """Files deleted, renamed, locked and readdressed on built discs, which are then compacted and read."""
+    files = _volumes(spark, d)
+    k = F.col("doc_id") % 5
+    told = files.withColumn("doc_id", F.substring("path", 4, 20).cast("long"))
+    changes = told.where("op = 'add'").select(
+        "image_id", (F.col("seq") + 1_000_000_000).alias("seq"), "side",
+        F.when(k == 0, "delete").when(k == 1, "rename").otherwise("attributes").alias("op"), "path", F.lit(None).cast("binary").alias("data"),
+        F.when(k == 3, F.lit(57005).cast("long")).alias("load_addr"), F.lit(None).cast("long").alias("exec_addr"), F.when(k == 2, True).alias("flag"),
+        F.when(k == 1, F.concat(F.lit("E.R"), F.col("doc_id").cast("string"))).alias("text"), "number",
+    )
+    last = files.groupBy("image_id").agg(F.lit(1 << 40).cast("long").alias("seq"), F.lit(0).alias("side"), F.lit("compact").alias("op"))
+    last = last.select(*(c if c in last.columns else F.lit(None).cast(t).alias(c) for c, t in files.dtypes))
+    built = _built(files.unionByName(changes).unionByName(last), ".ssd")
+    return images.files(built).select("image_id", "full_name", "load_addr", "start_sector", "locked", F.lower(F.hex("data")).alias("digest"))
+
+
+@_query(f"""
+SELECT source || '-' || CAST(volume AS BIGINT) AS image_id, unnest(['D/F' || doc_id || '.bin', 'D/F' || doc_id || '.bin.inf']) AS path FROM ({_NUMBERED})
+UNION ALL SELECT DISTINCT source || '-' || CAST(volume AS BIGINT), '$.inf' FROM ({_NUMBERED})
+""")
+def extract_paths(spark, d):
+    return tree.extract(_built(_volumes(spark, d), ".ssd")).select("image_id", "path")
+
+
+@_query(r"""
+SELECT p_partkey, regexp_full_match(p_name, '[\x00-\x7F]{1,7}') AS flat, regexp_full_match(p_brand, '[\x21-\x7E]{1,10}') AS tree,
+  CASE p_size % 6 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 3 WHEN 4 THEN 2 ELSE -1 END AS boot
+FROM part
+""")
+def names_and_boot(spark, d):
+    words = F.element_at(F.array(*map(F.lit, ("off", "1", "Run", "EXEC", "2", "none"))), (F.col("p_size") % 6 + 1).cast("int"))
+    return _read(spark, d, "part").select(
+        "p_partkey", B.valid_dfs_name(F.lit("$"), F.col("p_name")).alias("flat"), B.valid_adfs_name(F.col("p_brand")).alias("tree"), F.coalesce(B.boot_option(words), F.lit(-1)).alias("boot")
+    )
+
+
+@_query()
+def keyword_table(spark, d):
+    return programs.keywords(spark)
+
+
 _SEGMENTS = rf"""
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line_ord, cut_at) AS number, substr(line, cut_at + 1, {_SEGMENT}) AS line
 FROM (SELECT *, unnest(range(0, greatest(length(line), 1), {_SEGMENT})) AS cut_at FROM ({_DOC_LINES}))
