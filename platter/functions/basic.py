@@ -90,7 +90,7 @@ def keyword_rows(version: str = "II") -> list[tuple[str, int, int, str, list[str
     return [(d.name, i, b, n, [t for t, of in traits.items() if n in of]) for i, (n, b) in enumerate(d.keywords)]
 
 
-# -- line references ---------------------------------------------------------------------------
+# -- line references
 
 
 def pack_line_ref(number: int) -> bytes:
@@ -103,7 +103,7 @@ def unpack_line_ref(mask: int, low: int, high: int) -> int:
     return (high & 63 | (mask >> 2 & 3) << 6) << 8 | low & 63 | (mask >> 4 & 3) << 6
 
 
-# -- tokenizing --------------------------------------------------------------------------------
+# -- tokenizing
 
 _HEX = re.compile(r"&[0-9A-Fa-f]*")
 _DIGITS = re.compile(r"[0-9]+")
@@ -255,9 +255,9 @@ def classify(is_basic: bool, data: bytes) -> str:
     return "TEXT" if is_plain_text(data) else "BINARY"
 
 
-# -- numbering and assembly --------------------------------------------------------------------
+# -- numbering and assembly
 
-_NUMBERED = re.compile(r"\s*(\d+)(.*)", re.S)
+_NUMBERED = re.compile(r"(?s)\s*(?P<number>\d+)(?P<text>.*)")
 
 
 def number_lines(lines: list[str], strict: bool = False) -> tuple[list[tuple[int, str]], list[str]]:
@@ -299,7 +299,7 @@ def tokenize(lines: list[str], version: str = "II", on_overflow: str = "error",
     return bytes(out + bytes((RECORD, END))), warnings
 
 
-# -- spacing -----------------------------------------------------------------------------------
+# -- spacing
 
 _COMPARE = re.compile(r"<>|<=|>=|[=<>]")
 
@@ -407,9 +407,10 @@ def compact_line(line: str) -> str:
     return out + made
 
 
-# -- escapes -----------------------------------------------------------------------------------
+# -- escapes
 
-_ESCAPED = re.compile(r"\\x([0-9A-F]{2})")
+_UPPER_HEX = "[0-9A-F]"
+_ESCAPED = re.compile(rf"\\x({_UPPER_HEX}{_UPPER_HEX})")
 _TO_ESCAPE = re.compile(r"[^\x20-\x5B\x5D-\x7E]")
 
 
@@ -418,20 +419,28 @@ def escape(text: str) -> str:
     return _TO_ESCAPE.sub(lambda m: f"\\x{ord(m.group()):02X}", text)
 
 
+def _character(escaped: re.Match) -> str:
+    return chr(int(escaped[1], base=16))
+
+
 def unescape(text: str) -> str:
-    return _ESCAPED.sub(lambda m: chr(int(m.group(1), 16)), text)
+    return _ESCAPED.sub(_character, text)
 
 
 def has_escapes(text: str) -> bool:
     return _ESCAPED.search(text) is not None
 
 
+def _is_utf8(data: bytes) -> bool:
+    try:
+        return data.decode() is not None
+    except ValueError:
+        return False
+
+
 def source_lines(data: bytes) -> list[str]:
     """Lines of a source file: UTF-8, else ASCII with replacements; escapes undone; cut at CR LF, CR and LF alone."""
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        text = data.decode("ascii", "replace")
+    text = data.decode("utf-8" if _is_utf8(data) else "ascii", errors="replace")
     if has_escapes(text):
         text = unescape(text)
     lines = re.split(r"\r\n|\r|\n", text)

@@ -49,7 +49,7 @@ def find(entries: DataFrame, name: str) -> DataFrame:
 
 def attributes(entries: DataFrame, path: str) -> DataFrame:
     """Exact lookup of a path, `$.` before it where it names no directory."""
-    path = path if len(path) >= 3 and path[1] == "." else "$." + path
+    path = "$." * (path[1:2] != "." or len(path) < 3) + path
     return entries.where(F.col("full_name") == path)
 
 

@@ -100,7 +100,7 @@ def apply_commands(images: DataFrame, commands: DataFrame) -> DataFrame:
     return joined.mapInPandas(run, RESULT)
 
 
-def new_images(commands: DataFrame, ext: str, tracks: int = 80, title: str = "", boot_option: int = 0) -> DataFrame:
+def new_images(commands: DataFrame, ext: str, *, boot_option: int = 0, title: str = "", tracks: int = 80) -> DataFrame:
     """image_id, ext, content and log of a new image for each image_id that commands name, with these applied.
 
     One shuffle of the commands; blank discs are made where they are filled.

@@ -30,7 +30,7 @@ def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-# -- sorting and names -------------------------------------------------------------------------
+# -- sorting and names
 
 
 @_query(
@@ -128,7 +128,7 @@ def sidecar_missing(spark, d):
     return missing.select("doc_id", "source")
 
 
-# -- space -------------------------------------------------------------------------------------
+# -- space
 
 _SECTORS = "CAST(ceil(n_chars / 256.0) AS BIGINT)"
 _ALLOCATED = f"""
@@ -240,7 +240,7 @@ def range_reserve(spark, d):
     return space.reservable(wanted, blocks, ["p_brand"], "p_partkey", "s", "n")
 
 
-# -- text --------------------------------------------------------------------------------------
+# -- text
 
 _DOC_LINES = r"""
 SELECT doc_id, unnest(range(len(p))) AS line_ord, unnest(p) AS line
@@ -344,7 +344,7 @@ def crc_checks(spark, d):
     return summed.select("doc_id", "sums.crc16", "sums.crc32", (F.crc32("data") == F.col("sums.crc32")).alias("agree"))
 
 
-# -- bits --------------------------------------------------------------------------------------
+# -- bits
 
 _BYTE = "SELECT o_orderkey, CAST(o_orderkey % 256 AS INTEGER) AS a FROM orders"
 
@@ -451,8 +451,9 @@ def inf_format_parse(spark, d):
     return parsed.select("doc_id", *(F.col(f"p.{n}").alias(n) for n in names), sidecars.start_sector(F.col("p.extra")).alias("start_sector"))
 
 
-# -- whole images ------------------------------------------------------------------------------
+# -- whole images
 
+_NUMBERS = "load_addr exec_addr length start_sector".split()
 #: Files of an image, and lines of a program: 40 tracks take them whatever their lengths.
 _FILES, _PROGRAM_LINES, _SEGMENT = 30, 380, 240
 _NUMBERED = """
@@ -493,7 +494,7 @@ FROM ({_NUMBERED})
 def dfs_build_read(spark, d):
     built = _built(_volumes(spark, d), ".ssd")
     return images.files(built).select(
-        "image_id", "full_name", "load_addr", "exec_addr", "length", "start_sector", "locked", F.lower(F.hex("data")).alias("digest")
+        "image_id", "full_name", *_NUMBERS, "locked", F.lower(F.hex("data")).alias("digest")
     )
 
 
@@ -509,7 +510,7 @@ def adfs_build_read(spark, d):
     folders = made.withColumns({"seq": F.lit(-1).cast("long"), "side": F.lit(0), "op": F.lit("mkdir"), "path": F.lit("$.D"), **nothing})
     built = _built(folders.unionByName(files), ".adf")
     return images.files(built).select(
-        "image_id", "full_name", "load_addr", "exec_addr", "length", "start_sector", "access_string", F.lower(F.hex("data")).alias("digest")
+        "image_id", "full_name", *_NUMBERS, "access_string", F.lower(F.hex("data")).alias("digest")
     )
 
 

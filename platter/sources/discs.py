@@ -55,7 +55,7 @@ def bcd_next(value: int, wraps: bool) -> int:
     return high << 4 | low
 
 
-# -- flat catalogues ---------------------------------------------------------------------------
+# -- flat catalogues
 
 
 @dataclass
@@ -77,7 +77,8 @@ class File:
 
 
 def split_flat(path: str) -> tuple[str, str]:
-    return (path[0], path[2:]) if len(path) >= 3 and path[1] == "." else ("$", path)
+    directory, dot, leaf = path[:1], path[1:2], path[2:]
+    return (directory, leaf) if dot == "." and leaf else ("$", path)
 
 
 class DfsSide:
@@ -102,7 +103,7 @@ class DfsSide:
         self.files = [self._entry(i) for i in range(one[5] // 8)]
 
     @classmethod
-    def blank(cls, tracks: int = 80, title: str = "", boot_option: int = 0) -> DfsSide:
+    def blank(cls, tracks=80, title="", boot_option=0) -> DfsSide:
         if tracks not in (40, 80) or boot_option not in range(4):
             raise DiscError("40 or 80 tracks and a boot option of 0 to 3")
         content = bytearray(tracks * 10 * SECTOR)
@@ -252,7 +253,7 @@ def _new_access(f: File, locked: bool | None, access: str | None, disc_format: s
     return native
 
 
-# -- hierarchical discs ------------------------------------------------------------------------
+# -- hierarchical discs
 
 
 @dataclass
@@ -386,10 +387,8 @@ class AdfsDisc:
         self.data[sector * SECTOR : sector * SECTOR + DIRECTORY_BYTES] = found.encode()
 
     def _parent(self, path: str) -> tuple[int, Directory, str]:
-        parts = path.split(".")
-        if parts[0] == "$":
-            parts = parts[1:]
-        if not parts or not all(parts):
+        parts = path.removeprefix("$.").split(".")
+        if path == "$" or "" in parts:
             raise DiscError(f"{path!r} names no file")
         sector = 2
         for part in parts[:-1]:
@@ -530,7 +529,7 @@ class AdfsDisc:
         raise DiscError("a hierarchical disc isn't compacted")
 
 
-# -- whole images ------------------------------------------------------------------------------
+# -- whole images
 
 _TRACK, _ADFS_TRACK = 10 * SECTOR, 16 * SECTOR
 
@@ -559,7 +558,7 @@ def image_bytes(sides: list, double_sided: bool) -> bytes:
     return interleaved(*contents)
 
 
-def blank_image(ext: str, tracks: int = 80, title: str = "", boot_option: int = 0) -> bytes:
+def blank_image(ext: str, tracks=80, title="", boot_option=0) -> bytes:
     """By extension: .ssd, .dsd, .adf (40 or 80 tracks of one side) or .adl."""
     if ext in (".ssd", ".dsd"):
         sides = [DfsSide.blank(tracks, title, boot_option) for _ in range(2 if ext == ".dsd" else 1)]

@@ -7,6 +7,8 @@ equi-join, orders the files and assembles each disc in a grouped map.
 
 from __future__ import annotations
 
+import re
+import zlib
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -60,7 +62,7 @@ def extract(source: DataFrame, flat: bool = False, pretty: bool = False, text_mo
                 text = "".join(f"{line}\n" for line in lines)
                 x = text.encode("utf-8") if text_mode == "utf8" else text.encode("ascii", "replace")
             elif k == "text":
-                x = x.replace(b"\r\n", b"\n").replace(b"\r", b"\n")
+                x = re.sub(rb"\r\n?", b"\n", x)
             out.append(x)
         return type(data)(out, index=data.index)
 
@@ -193,7 +195,7 @@ def _assemble(r, log: list[str]) -> bytes:
                 if (side, folder.upper()) not in made:
                     made.add((side, folder.upper()))
                     _try(log, disc.make_directory, folder)
-        for key, actual in (("CRC", inf.crc16(data)), ("CRC32", __import__("zlib").crc32(data))):
+        for key, actual in (("CRC", inf.crc16(data)), ("CRC32", zlib.crc32(data))):
             try:
                 if key in extra and int(extra[key], 16) != actual:
                     log.append(f"{path}: {key} is {actual:X}, not {extra[key]}")
@@ -214,7 +216,7 @@ def _ancestors(directory: str) -> list[str]:
 def _disc_bytes(path: str, data: bytes, exec_addr: int, log: list[str]) -> bytes:
     """Source of programs is tokenized, text gets carriage returns."""
     if path.endswith(".txt"):
-        return data.replace(b"\r\n", b"\n").replace(b"\n", b"\r")
+        return re.sub(rb"\r?\n", b"\r", data)
     if path.endswith(".bas") and exec_addr & 0xFFFF in basic.BASIC_EXEC:
         try:
             data, warnings = basic.tokenize(basic.source_lines(data), on_overflow="compact")
