@@ -73,7 +73,7 @@ def table(df):
     return sorted((tuple(r) for r in df.collect()), key=repr)
 
 
-# -- 1 -----------------------------------------------------------------------------------------
+# -- 1
 
 
 def jaccard(a, b):
@@ -117,7 +117,7 @@ def test_weights_count():
     assert abs(fingerprint.likeness(s[:1], s[1:])[0] - jaccard(a, b)) < 0.15
 
 
-# -- 2 -----------------------------------------------------------------------------------------
+# -- 2
 
 
 def brute_segments(scores):
@@ -170,7 +170,7 @@ def test_toxicity_without_labels(spark, docs):
     assert all(r.score in (0.0, 1.0) for r in toxicity.score_toxicity(docs, one).collect())
 
 
-# -- 3 -----------------------------------------------------------------------------------------
+# -- 3
 
 
 @pytest.mark.parametrize("source,text", [
@@ -195,7 +195,7 @@ def test_html_deep_and_table(spark):
     assert html_text.extract_text(pages.where("false")).count() == 0
 
 
-# -- 4 -----------------------------------------------------------------------------------------
+# -- 4
 
 
 def test_embeddings(spark):
@@ -256,7 +256,7 @@ def test_components(spark):
     assert components.components(df.where("false"), Scratch(spark, "t")).count() == 0
 
 
-# -- 5 -----------------------------------------------------------------------------------------
+# -- 5
 
 
 def brute_near(rows):
@@ -308,7 +308,7 @@ def test_minhash_chains_and_large_buckets(spark, monkeypatch):
     check_near(spark, rows)
 
 
-# -- 6 and 8 -----------------------------------------------------------------------------------
+# -- 6 and 8
 
 
 def test_packing(docs, empty):
@@ -398,7 +398,7 @@ def test_unreachable_tokens_stand_for_whole_pieces():
     assert e.encode("abcd") == [257] and e.encode("abcdx") == [256, 99, 100, 120] and e.encode("xbc") == [120, 258]
 
 
-# -- 7 -----------------------------------------------------------------------------------------
+# -- 7
 
 
 def oracle(sql, **tables):
@@ -435,7 +435,7 @@ def test_perfect_hash(spark, monkeypatch):
     assert table(line_dedup.line_dedup_digest(df)) == oracle(queries.ORACLE["op7_line_dedup"], documents=df)
 
 
-# -- 9 -----------------------------------------------------------------------------------------
+# -- 9
 
 
 def page(i, url, canonical=None, refresh=None):
@@ -463,7 +463,7 @@ def test_urls(spark):
     assert url_filter.judge_urls(df.where("false")).count() == 0
 
 
-# -- 10 ----------------------------------------------------------------------------------------
+# -- 10
 
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
