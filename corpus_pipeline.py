@@ -17,6 +17,9 @@ from pyspark.sql import DataFrame, SparkSession
 from platter.llm import line_dedup, minhash_dedup, packing, pii, toxicity
 from platter.llm._common import Scratch
 
+#: Near copies go from this similarity on; op5_minhash_dedup's query has its own.
+NEAR_PERCENT = 80
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -28,7 +31,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return minhash_dedup.drop_near_duplicates(docs)
+    return minhash_dedup.drop_near_duplicates(docs, NEAR_PERCENT)
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

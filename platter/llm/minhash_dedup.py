@@ -2,10 +2,10 @@
 
 A document's set holds its distinct shingles of five words, as 64-bit hashes.
 Equal sets are one class. Each class has `HASHES` universal-hash minima; bands
-of `ROWS` of the first `BANDS * ROWS` make its buckets, so two sets of
-similarity 0.85 miss each other with probability 4e-7. Candidates whose
-signatures agree in too few minima are dropped (a true link with probability
-under 1e-6), the others are confirmed on the full sets by exact integer
+of `ROWS` make its buckets. `DESIGNS` has the number of bands by the least
+similarity asked for, so two sets at it miss each other with probability 4e-7.
+Candidates whose signatures agree in too few minima are dropped (a true link
+with probability under 1e-6), the others are confirmed on the full sets by exact integer
 arithmetic. Connected components, by alternating large-star and small-star,
 give the groups.
 
@@ -37,9 +37,9 @@ from platter.llm.components import components
 
 SHINGLE = 5
 LEAST_PERCENT = 85
-HASHES, BANDS, ROWS = 128, 20, 4
-#: Least equal minima of a candidate: five standard deviations below the mean at the threshold.
-AGREE = 88
+HASHES, ROWS = 128, 4
+#: Least percent, bands, and least equal minima of a candidate: five standard deviations below the mean at that percent.
+DESIGNS = ((85, 20, 88), (80, 28, 79))
 #: Buckets of at least so many members get a second pivot; members of a block; partners of a pivot in a task.
 LARGE, BLOCK, STAR = 32, 512, 2000
 CACHED_WORDS = 250_000
@@ -97,15 +97,23 @@ def minima(s: np.ndarray) -> np.ndarray:
     return out >> np.uint64(32)
 
 
-def bands(least: np.ndarray) -> list[int]:
+def design(percent: int) -> tuple[int, int]:
+    """Bands and least equal minima for links from `percent` on."""
+    for least, many, agree in DESIGNS:
+        if percent >= least:
+            return many, agree
+    raise ValueError(f"the bands are made for {DESIGNS[-1][0]} percent or more")
+
+
+def bands(least: np.ndarray, many: int) -> list[int]:
     """One 64-bit bucket a band, with the band's number in its hash."""
     return [
         int(np.frombuffer(xxhash.xxh3_64_digest(least[i * ROWS : (i + 1) * ROWS].tobytes(), seed=i), np.int64)[0])
-        for i in range(BANDS)
+        for i in range(many)
     ]
 
 
-def _signed(docs: DataFrame) -> DataFrame:
+def _signed(docs: DataFrame, many: int) -> DataFrame:
     """doc_id, n_shingles, h1, h2 (class), buckets and signature; null for documents that link with nothing."""
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -117,7 +125,7 @@ def _signed(docs: DataFrame) -> DataFrame:
                 continue
             h1, h2 = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64).tolist()
             least = minima(s)
-            rows.append((i, len(s), h1, h2, bands(least), least.astype(np.uint16).tobytes()))
+            rows.append((i, len(s), h1, h2, bands(least, many), least.astype(np.uint16).tobytes()))
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())
         names = ("doc_id", "n_shingles", "h1", "h2", "buckets", "signature")
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
@@ -160,8 +168,9 @@ class _Search:
     def __init__(self, docs: DataFrame, percent: int):
         self.scratch = Scratch(docs.sparkSession, "minhash-dedup")
         self.percent = percent
+        many, self.agree = design(percent)
         self.docs = docs
-        self.signed = self.scratch.table(_signed(docs), "signed")
+        self.signed = self.scratch.table(_signed(docs, many), "signed")
         self.classes = self.scratch.table(
             self.signed.where("h1 is not null")
             .groupBy("h1", "h2")
@@ -211,10 +220,11 @@ class _Search:
         pairs = pairs.join(small.toDF(*(f"p_{c}" for c in small.columns)), F.col("p") == F.col("p_rep"))
         pairs = pairs.join(small.toDF(*(f"x_{c}" for c in small.columns)), F.col("x") == F.col("x_rep"))
         if by_signature:
+            least = self.agree
 
             @F.pandas_udf("boolean")
             def agree(a, b):
-                return type(a)((_matrix(list(a)) == _matrix(list(b))).sum(axis=1) >= AGREE if len(a) else [], dtype=bool)
+                return type(a)((_matrix(list(a)) == _matrix(list(b))).sum(axis=1) >= least if len(a) else [], dtype=bool)
 
             maybe = _may_link(F.col("p_n"), F.col("x_n"), self.percent) & agree("p_signature", "x_signature")
         else:
@@ -286,6 +296,7 @@ class _Search:
         """Pairs of one bucket and two components whose signatures agree, by blocks of a bucket."""
         blocks = F.ceil(F.col("size") / BLOCK)
         own = F.pmod(F.xxhash64("rep"), F.col("blocks"))
+        least = self.agree
         rows = (
             rest.join(self.classes.select("rep", "signature"), "rep")
             .withColumn("blocks", blocks)
@@ -305,7 +316,7 @@ class _Search:
         def compare(ids: np.ndarray, of: np.ndarray, block: np.ndarray, m: np.ndarray, a: int, b: int):
             left, right = np.flatnonzero(block == a), np.flatnonzero(block == b)
             if len(left) and len(right):
-                hit = (agreement(m[left], m[right]) >= AGREE) & (of[left][:, None] != of[right][None, :])
+                hit = (agreement(m[left], m[right]) >= least) & (of[left][:, None] != of[right][None, :])
                 for i, j in zip(*np.nonzero(hit)):
                     p, x = int(ids[left[i]]), int(ids[right[j]])
                     if a != b or p < x:
@@ -357,9 +368,7 @@ class _Search:
 
 
 def near_duplicates(docs: DataFrame, percent: int = LEAST_PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept. percent: links from this similarity on, 85 at least (the bands' design)."""
-    if percent < LEAST_PERCENT:
-        raise ValueError(f"the bands are made for {LEAST_PERCENT} percent or more")
+    """doc_id, n_shingles, component_id, kept. percent: links from this similarity on, 80 at least (the bands' design)."""
     search = _Search(docs, percent)
     search.search()
     return search.result()

@@ -7,7 +7,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from platter.llm import pii, toxicity
+from platter.llm import minhash_dedup, pii, toxicity
 
 from .test_operators import SHARED, brute_near, prose, variant
 
@@ -59,6 +59,22 @@ def test_stages(spark, folder):
     assert out.sequence_id.nunique() <= np.ceil(sum(lengths.values()) / 2048) + 1
 
 
+def test_near_copies_from_80_percent(spark):
+    """Pairs of similarity 0.80 to 0.85, one below 0.80, and op5's own threshold."""
+    rows, near, far = [], set(), set()
+    for k in range(40):
+        words = prose(100, 700 + k).split()
+        for i, changed in ((0, []), (1, [30, 70] if k % 2 else [20, 50, 80])):
+            rows.append((10 * k + i, " ".join("new" if j in changed else w for j, w in enumerate(words)), "en", "s", 1))
+        (near if k % 2 else far).add(10 * k + 1)  # 86 of 106 shingles, 81 of 111
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()}
+    assert kept == {r[0] for r in rows} - near
+    assert all(r.kept for r in minhash_dedup.near_duplicates(docs).collect())
+    with pytest.raises(ValueError):
+        minhash_dedup.near_duplicates(docs, 79)
+
+
 def test_import_without_llm(tmp_path):
     """The entry module works where the subpackage is gone."""
     import shutil
