@@ -16,7 +16,8 @@ parser expands and validates the boundary:
 * secret: a quoted or bare value of 12 or more letters, digits, `+/_-`, with a
   digit and a letter, after a cue and `=` or `:`;
 * account: an IBAN with valid check digits after or without a cue word, or 8 to
-  17 digits after `account` or `acct`.
+  17 digits after `account` or `acct`. An IBAN is cut to its country's length,
+  and where no cue stands, a listed country code and two digits are its anchor.
 
 Defined results: null is the empty text and has no spans. Base spans stay; an
 added span that overlaps a base span or an earlier added one is dropped.
@@ -53,6 +54,21 @@ _OBFUSCATED = re.compile(
 )
 _LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]{1,64}\Z")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+_IBAN_ANCHOR = re.compile(r"[A-Z]{2}[0-9]{2}(?=\x20?[A-Z0-9])")
+_ALNUM = re.compile(r"[A-Za-z0-9]")
+_IBAN_LENGTHS = {
+    x[:2]: int(x[2:])
+    for x in (
+        "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 "
+        "FK18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 "
+        "LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 "
+        "SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30"
+    ).split()
+}
+_IBAN_OF = {
+    n: re.compile(rf"[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]{{4}}){{{n // 4 - 1}}}" + rf"\x20?[A-Z0-9]{{{n % 4}}}" * (n % 4 > 0) + "(?![A-Za-z0-9])")
+    for n in set(_IBAN_LENGTHS.values())
+}
 _ACCOUNT = re.compile(r"(?:\s?(?:no\.?|number|nr\.?|#))?\s{0,2}[:=#]?\s{0,2}([0-9]{8,17})(?![0-9])", re.I)
 
 _GAP = re.compile(r"[\x20:]{0,2}")
@@ -133,6 +149,13 @@ def iban_valid(value: str) -> bool:
     return int("".join(str(int(c, 36)) for c in value[4:] + value[:4])) % 97 == 1
 
 
+def iban_end(text: str, at: int) -> int | None:
+    """End of the valid IBAN of its country's length that starts at `at`, if there is one."""
+    length = _IBAN_LENGTHS.get(text[at : at + 2])
+    m = length and _IBAN_OF[length].match(text, at)
+    return m.end() if m and iban_valid(m.group()) else None
+
+
 class _Taken:
     """Disjoint intervals, ascending."""
 
@@ -175,7 +198,10 @@ def _expand(text: str, lower: str, start: int, after: int, kind: str) -> tuple[s
         if (":" in authority and "@" in authority) or _PERSONAL_FIELD.search(whole):
             return ("url", start, start + len(whole))
     elif start == 0 or not lower[start - 1].isalnum():
-        if (m := _IBAN.match(text, _GAP.match(text, after).end())) and iban_valid(m.group()):
+        at = _GAP.match(text, after).end()
+        if end := iban_end(text, at):
+            return ("account", at, end)
+        if (m := _IBAN.match(text, at)) and iban_valid(m.group()):  # a country that isn't listed
             return ("account", *m.span())
         if kind == "account" and (m := _ACCOUNT.match(text, after)):
             return ("account", *m.span(1))
@@ -195,6 +221,12 @@ def added_spans(text: str, base: dict[str, list[tuple[int, int]]]) -> dict[str,
             taken = taken or _Taken([s for k in BASE for s in base[k]])
             if taken.claim(*found[1:]):
                 out[found[0]].append(found[1:])
+    for m in _IBAN_ANCHOR.finditer(text):
+        at = m.start()
+        if (not at or not _ALNUM.match(text, at - 1)) and (end := iban_end(text, at)):
+            taken = taken or _Taken([s for k in BASE for s in base[k]])
+            if taken.claim(at, end):
+                out["account"].append((at, end))
     return out
 
 

@@ -485,6 +485,21 @@ def brute_pii(text):
     return [(k, m.start(), m.end()) for k, p in PATTERNS.items() for m in re.finditer(p, text) if ok(k, m.group())]
 
 
+@pytest.mark.parametrize("text", [
+    "IBAN ES91 2100 0418 4502 0005 1332 BIC CAIXESBB", "iban: ES91 2100 0418 4502 0005 1332 EUR 100", "account AT61 1904 3002 3457 3201 BIC",
+    "pay to ES9121000418450200051332 today", "AT61 1904 3002 3457 3201", "(NO93 8601 1117 947) BIC", "no cue: GB82 WEST 1234 5698 7654 32.",
+])
+def test_ibans_of_their_countrys_length(text):
+    iban = re.search(r"(ES|AT|NO|GB)[0-9]{2}[A-Z0-9 ]*?(1332|3201|947|32(?=\.))", text)
+    assert pii.find(text)[1]["account"] == [iban.span()]
+    assert pii.redact(text, pii.find(text)[1]) == text.replace(iban.group(), "<ACCOUNT>")
+
+
+def test_not_ibans():
+    for text in ("ES92 2100 0418 4502 0005 1332", "XES9121000418450200051332", "ES9121000418450200051332X", "ES91 2100 0418 4502 0005"):
+        assert pii.find(text)[1]["account"] == []
+
+
 def test_pii_base():
     r = random.Random(13)
     parts = ["a@b.co", "@", ".", "a.b", "1.2.3.4", "256.1.1.1", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (555) 010-9999", "+", "9", " ", "x@y", "@@", "é", "٣", "-"]
