@@ -3,10 +3,12 @@
 Equal vectors are one class, with a count. Spherical k-means, fitted to a
 bounded sample, gives cells. Of a pair in two cells, the vector of the lower
 cell is copied to the higher one if the pair could be there: for unit vectors
-u, v with |u - v| <= d, the margin u.(c_i - c_j) of u's home over the other
-cell is at most d |c_i - c_j|. `probe` standard deviations of an isotropic
-difference, d / sqrt(dimension) each, are taken instead of that worst case
-unless `probe` is None, which finds every pair and costs more copies.
+u, v of cosine `least` or more, v is beyond the plane between the cells, so the
+margin u.(c_i - c_j) of u's home over the other cell is at most
+sqrt(1 - least^2) |c_i - c_j|. This finds every pair, whatever the spread of
+the vectors. A number as `probe` takes so many standard deviations of an
+isotropic difference instead, sqrt(2 - 2 least) / sqrt(dimension) each: fewer
+copies, but pairs are lost where differences aren't isotropic.
 
 A cell's vectors are dealt to blocks of about `BLOCK`, and a task compares two
 blocks, so a hot cell is many tasks. A task multiplies tile by tile in double
@@ -32,7 +34,7 @@ from platter.llm._common import Scratch, map_batches
 from platter.llm.components import components
 
 LEAST = 0.9
-PROBE = 3.5
+PROBE = None
 CELL_VECTORS, MOST_CELLS = 1500, 2048
 SAMPLE_ROWS, SAMPLE_FLOATS = 20_000, 4_000_000
 BLOCK = 2048
@@ -64,9 +66,9 @@ def cells_of(x: np.ndarray, centres: np.ndarray, least: float, probe: float | No
     """Home cell of each unit row, then the higher cells it is copied to."""
     near = x @ centres.T
     home = near.argmax(axis=1)
-    reach = np.sqrt(max(0.0, 2 - 2 * least))
+    reach = np.sqrt(max(0.0, 1 - least * least)) if least > 0 else 1.0
     if probe is not None:
-        reach *= min(1.0, probe / np.sqrt(x.shape[1]))
+        reach = min(reach, probe * np.sqrt(max(0.0, 2 - 2 * least) / x.shape[1]))
     apart = np.sqrt(np.maximum(0, 2 - 2 * centres @ centres.T))
     margin = near[np.arange(len(x)), home][:, None] - near
     copied = (margin <= reach * apart[home] + 1e-12) & (np.arange(len(centres)) > home[:, None])

@@ -226,6 +226,24 @@ def test_embeddings(spark):
     assert embedding_dedup.dedup_embeddings(df.where("false")).count() == 0
 
 
+def test_no_pair_is_lost_between_cells():
+    """Hundreds of cells, anisotropic vectors and differences: each pair shares a cell by the default rule."""
+    r = np.random.default_rng(12)
+    scale = 1 / np.arange(1, 129)
+    base = embedding_dedup.unit_rows(r.normal(size=(3000, 128)) * scale)
+    off = r.normal(size=base.shape) * scale
+    off -= np.einsum("ij,ij->i", off, base)[:, None] * base
+    cosine = r.uniform(0.9001, 0.93, len(base))[:, None]
+    near = cosine * base + np.sqrt(1 - cosine**2) * embedding_dedup.unit_rows(off)
+    centres = embedding_dedup.fit_cells(base, 300)
+
+    def found(probe):
+        cells = [embedding_dedup.cells_of(x, centres, 0.9, probe) for x in (base, near)]
+        return [bool(a[0] in b or b[0] in a) for a, b in zip(*cells)]
+
+    assert all(found(embedding_dedup.PROBE)) and not all(found(3.5))
+
+
 def test_blocks_of_a_hot_cell(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "BLOCK", 40)
     r = np.random.default_rng(6)
