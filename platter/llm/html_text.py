@@ -13,6 +13,7 @@ Rendering collapses white space, ends lines at blocks and `<br>`, leaves one
 blank line around paragraphs, headings, lists, tables and quotes, marks list
 items by `- ` or their number and indents nested ones, keeps `<pre>` as it is,
 and pads table cells so that the columns of a table are aligned, ` | ` between.
+What stands in a table outside of its cells comes before it, as browsers do.
 
 Defined results: null html gives the empty text. Tags are case-insensitive,
 unknown ones are inline. Nesting deeper than `DEEPEST` is flattened.
@@ -223,30 +224,48 @@ class _Lines:
             self._put(line)
 
 
-def _cells(table: Node, rules) -> list[list[tuple[list[str], int]]]:
-    """Rows of (lines, columns taken) in the order head, bodies, foot as they stand."""
-    rows = []
+def _has_parts(node: Node) -> bool:
+    """Whether rows or cells of the table around it stand in a node, which isn't a table itself."""
+    return any(
+        not isinstance(c, str) and (c.tag in ("tr", "td", "th", "tbody", "thead", "tfoot") or (c.tag != "table" and _has_parts(c)))
+        for c in node.children
+    )
 
-    def walk(node: Node) -> None:
+
+def _cells(table: Node, rules) -> tuple[list[list[tuple[list[str], int]]], Node]:
+    """Rows of (lines, columns taken) in the order head, bodies, foot as they stand, and what stands outside of cells."""
+    rows: list = []
+    loose = Node("div", {})
+
+    def walk(node: Node, row: list | None) -> None:
+        own = row
         for child in node.children:
-            if isinstance(child, str) or not visible(child, rules):
+            if isinstance(child, str):
+                loose.children.append(child)
+            elif not visible(child, rules) or (child.tag == "caption" and node is table):
                 continue
-            if child.tag == "tr":
-                row = []
-                for cell in child.children:
-                    if not isinstance(cell, str) and cell.tag in ("td", "th") and visible(cell, rules):
-                        span = cell.attrs.get("colspan", "1")
-                        row.append((render(cell, rules), min(1000, max(1, int(span))) if span.isascii() and span.isdigit() and len(span) < 5 else 1))
-                rows.append(row)
-            elif child.tag in ("tbody", "thead", "tfoot"):
-                walk(child)
-
-    walk(table)
-    return rows
-
-
-def _table(table: Node, rules) -> list[str]:
-    rows = [r for r in _cells(table, rules) if r]
+            elif child.tag in ("td", "th"):
+                if own is None:
+                    rows.append(own := [])
+                span = child.attrs.get("colspan", "1")
+                own.append((render(child, rules), min(1000, max(1, int(span))) if span.isascii() and span.isdigit() and len(span) < 5 else 1))
+            elif child.tag in ("tr", "tbody", "thead", "tfoot", "colgroup") or _has_parts(child):
+                inner = row
+                if child.tag == "tr":
+                    rows.append(inner := [])
+                loose.children.append(" ")
+                walk(child, inner)
+                loose.children.append(" ")
+                own = row
+            else:
+                loose.children.append(child)
+
+    walk(table, None)
+    return rows, loose
+
+
+def _table(rows: list[list[tuple[list[str], int]]]) -> list[str]:
+    rows = [r for r in rows if r]
     widths: dict[int, int] = {}
     for row in rows:
         at = 0
@@ -302,10 +321,9 @@ def _walk(node: Node, out: _Lines, rules) -> None:
             captions = [c for c in child.children if not isinstance(c, str) and c.tag == "caption" and visible(c, rules)]
             for caption in captions:
                 out.put(render(caption, rules))
-            loose = Node("div", {})
-            loose.children = [c for c in child.children if isinstance(c, str) or c.tag not in ("tr", "tbody", "thead", "tfoot", "caption", "colgroup", "col")]
+            rows, loose = _cells(child, rules)
             out.put(render(loose, rules))
-            out.put(_table(child, rules))
+            out.put(_table(rows))
         elif tag in ("ul", "ol", "menu"):
             _list(child, out, rules)
         elif tag == "blockquote":

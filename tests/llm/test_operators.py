@@ -187,6 +187,17 @@ def test_html(source, text):
     assert html_text.to_text(source).strip("\n") == text
 
 
+@pytest.mark.parametrize("source,text", [
+    ("<table><tbody><form><tr><td>a<td>b</tr></form></tbody></table>", "a | b"), ("<table><tr><form><td>a<td>b</form></tr></table>", "a | b"),
+    ("<table><tr><a href=x><td>a</td></a><td>b</td></tr></table>", "a | b"), ("<table><tr>x<td>a</td>y</tr></table>", "xy\na"),
+    ("<table><tbody>x<tr><td>a</tr>y</tbody></table>", "x y\na"), ("<table><form><td>a<td>b</form></table>", "a | b"),
+    ("<table><tr><div>x<table><tr><td>n</table></div><td>a</table>", "x\n\nn\na"), ("<table><tr><font hidden><td>a</font></table>", ""),
+])
+def test_html_table_parts(source, text):
+    got = html_text.to_text(source).strip("\n")
+    assert [x for x in got.split("\n") if x] == [x for x in text.split("\n") if x]
+
+
 def test_html_deep_and_table(spark):
     deep = "<div>" * 5000 + "x" + "<ul><li>" * 3000 + "y"
     assert html_text.to_text(deep).replace(" ", "").replace("-", "").split() == ["x", "y"]
