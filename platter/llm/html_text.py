@@ -6,7 +6,8 @@ text elements, optional end tags (a `<p>` ends at the next block, `<li>`,
 another), stray end tags are ignored, open elements end with the input.
 Visibility: `hidden`, `display:none`, `visibility:hidden` in a style attribute
 or in a rule of a `<style>` sheet whose selector is a tag, a class, an id or a
-tag with a class or id; `head`, `script`, `style`, `template`, `noscript` and
+tag with a class or id, outside of `@media` queries other than `all` and
+`screen` and of other conditional at-rules; `head`, `script`, `style`, `template`, `noscript` and
 form values are never shown.
 
 Rendering collapses white space, ends lines at blocks and `<br>`, leaves one
@@ -63,7 +64,9 @@ _MARKUP = re.compile(
 _ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 _HIDES = re.compile(r"(?:^|[;{\s])(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+_CSS_NOISE = re.compile(r"/\*.*?\*/|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'", re.S)
+_CSS_MARK = re.compile(r"[{};]")
+_SHOWN_MEDIA = frozenset(("", "all", "screen", "only screen", "only all"))
 _SELECTOR = re.compile(r"([A-Za-z][\w-]*)?(?:([.#])([\w-]+))?\Z")
 
 
@@ -150,7 +153,7 @@ def parse(source: str) -> tuple[Node, list[str]]:
         elif tag in _RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(source, at)
             inner = source[at : end.start() if end else size]
-            if tag == "style":
+            if tag == "style" and _on_screen(attrs.get("media", "")):
                 sheets.append(inner)
             node = Node(tag, attrs)
             node.children.append(inner)
@@ -163,11 +166,37 @@ def parse(source: str) -> tuple[Node, list[str]]:
     return root, sheets
 
 
+def _on_screen(media: str) -> bool:
+    """Whether a media list holds on every screen; conditions are taken as not met, so that nothing is hidden by them."""
+    return any(" ".join(q.lower().split()) in _SHOWN_MEDIA for q in media.split(","))
+
+
+def _rules(css: str) -> list[tuple[str, str]]:
+    """(selectors, own declarations) of the style rules that always hold, at any depth of `@media screen` and `@layer`."""
+    out, open_, at = [], [], 0  # open blocks: (holds, selectors or None, declarations)
+    for m in [*_CSS_MARK.finditer(css), None]:
+        piece, at, mark = (css[at : m.start()].strip(), m.end(), m.group()) if m else (css[at:].strip(), len(css), "")
+        holds, selectors, own = open_[-1] if open_ else (True, None, [])
+        if mark == "{":
+            if piece.startswith("@"):
+                word, query = (piece[1:].replace("(", " (", 1).split(None, 1) + ["", ""])[:2]
+                shown = word.lower() == "layer" or (word.lower() == "media" and _on_screen(query))
+                open_.append((holds and shown and selectors is None, None, []))
+            else:  # a rule inside of a rule depends on its parent: it isn't judged
+                open_.append((holds and selectors is None, piece, []))
+            continue
+        own.append(piece)
+        for holds, selectors, own in [open_.pop()] if mark == "}" and open_ else open_[::-1] if not mark else []:
+            if holds and selectors is not None:
+                out.append((selectors, ";".join(own)))
+    return out
+
+
 def hiding_rules(sheets: list[str]) -> set[tuple[str, str, str]]:
     """(tag, kind, name) of selectors that hide; kind is `.`, `#` or empty."""
     out = set()
     for sheet in sheets:
-        for selectors, body in _RULE.findall(re.sub(r"/\*.*?\*/", "", sheet, flags=re.S)):
+        for selectors, body in _rules(_CSS_NOISE.sub(" ", sheet)):
             if _HIDES.search(body):
                 for selector in selectors.split(","):
                     m = _SELECTOR.match(selector.strip())

@@ -198,6 +198,18 @@ def test_html_table_parts(source, text):
     assert [x for x in got.split("\n") if x] == [x for x in text.split("\n") if x]
 
 
+@pytest.mark.parametrize("css,text", [
+    ("@media print{.n,.s{display:none}}", "x\ny"), ("@media (max-width: 600px){.n{display:none} .s{color:red}}", "x\ny"), ("@media(max-width:9px){.n{display:none}}", "x\ny"),
+    ("@media screen and (min-width:1px){.n{display:none}} .s{display:none}", "x"), ("@media screen{.n{display:none}}", "y"), ("@media print, all { .n{display:none}}", "y"),
+    ("@supports (display:grid){.n{display:none}}", "x\ny"), ("@layer a{.n{display:none}}", "y"), ("@import 'a';.n{color:red;display:none}", "y"), (".n{color:red; .s{display:none}}", "x\ny"),
+    ("@media print{@media all{.n{display:none}}}.s{content:'}';visibility:hidden}", "x"), ("/* } */ .n{display:none", "y"), ("@font-face{a:b}@media print{.n{a:b}}.n{display:none}", "y"),
+])
+def test_html_at_rules(css, text):
+    body = "<div class=n>x</div><div class=s>y</div>"
+    assert html_text.to_text(f"<style>{css}</style>{body}") == text
+    assert html_text.to_text(f"<style media=print>{css}</style>{body}") == "x\ny"
+
+
 def test_html_deep_and_table(spark):
     deep = "<div>" * 5000 + "x" + "<ul><li>" * 3000 + "y"
     assert html_text.to_text(deep).replace(" ", "").replace("-", "").split() == ["x", "y"]
