@@ -8,18 +8,25 @@ hold it, it takes the one with the least weighted norm of what would remain
 (`by="norm"`) or the greatest weighted dot product of residual and demand
 (`by="dot"`).
 
+The production capacities of a sequence are `TOKENS`, `DOCUMENTS` pieces and
+an attention cost: a piece costs its length squared and `TILE`, the least block
+that an attention kernel computes for it. All three can bind: many tiny pieces
+meet the document capacity, a tiny piece beside a nearly whole one the cost.
+
 Pieces are dealt evenly to shards of about `shard_pieces`, which are packed
-independently; a shard adds at most a few sequences to the whole. The document
-and attention capacities of the production query don't bind, so tokens decide.
+independently; a shard adds at most a few sequences to the whole.
 
 Defined results: null is the empty text, of the separator alone. Repeated rows
-are packed each.
+are packed each. Very long texts: time and memory grow with the text's length
+(some 20 bytes a character); long runs of white space are cut as the pattern
+would before the tokenizer sees them.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -35,8 +42,13 @@ from platter.llm._common import Scratch, map_batches, partitions
 TOKENS = 2048
 SEPARATOR = 0
 SHARD_PIECES = 16_000
+#: Pieces of a sequence; attention cost of a piece beside its length squared.
+DOCUMENTS, TILE = 128, 64 * 64
 #: Of the residuals' shares of capacity: tokens, documents, attention cost.
-WEIGHTS = (1.0, 1e-4, 1e-4)
+WEIGHTS = (1.0, 0.01, 0.01)
+#: White space of so many characters is cut by hand: the tokenizer's engine gives up at about a million.
+LONG_SPACE = 10_000
+_LONG_SPACE = re.compile(rf"[^\S\x1c-\x1f]{{{LONG_SPACE},}}")  # Unicode's White_Space
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -88,6 +100,18 @@ class _Tokenizer:
         """32-bit little-endian ids."""
         if self.ranked is None or any(a in text for a in self.added):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        if len(text) < LONG_SPACE or not (runs := list(_LONG_SPACE.finditer(text))):
+            return self._ranked_ids(text)
+        parts, at = [], 0
+        for run in runs:
+            # the pattern takes the whole run at the end of the text, else all but its last character
+            end = run.end() if run.end() == len(text) else run.end() - 1
+            parts.append(self._ranked_ids(text[at : run.start()]))
+            parts.append(np.array(self.ranked._core_bpe.encode_single_piece(text[run.start() : end].encode()), "<u4").tobytes())
+            at = end
+        return b"".join([*parts, self._ranked_ids(text[at:])])
+
+    def _ranked_ids(self, text: str) -> bytes:
         return self.ranked.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
 
 
@@ -182,7 +206,7 @@ def best_fit(
 def pack_pieces(
     pieces: DataFrame,
     tokens: int = TOKENS,
-    documents: int | None = None,
+    documents: int = DOCUMENTS,
     attention: int | None = None,
     by: str = "norm",
     weights: tuple[float, float, float] = WEIGHTS,
@@ -190,10 +214,13 @@ def pack_pieces(
 ) -> DataFrame:
     """pieces (a written table, with length) and the columns sequence_id and offset.
 
-    documents and attention: capacities of a sequence, at least 1 and the
-    square of the longest piece; None doesn't bind.
+    documents and attention: capacities of a sequence, at least 1 and the cost
+    of a whole piece; None takes the cost of a whole piece and of one tile.
     """
-    capacities = np.array([tokens, documents or tokens, attention or tokens * tokens], np.int64)
+    attention = tokens * tokens + 2 * TILE if attention is None else attention
+    capacities = np.array([tokens, documents, attention], np.int64)
+    if documents < 1 or attention < tokens * tokens + TILE:
+        raise ValueError("a sequence must have room for a whole piece")
     many = pieces.count()
     shards = max(1, min(max(partitions(pieces.sparkSession), -(-many // shard_pieces)), -(-many // 1000)))
     names = pieces.columns
@@ -207,7 +234,7 @@ def pack_pieces(
         keys = [rows.column(c).fill_null(-1).to_numpy() for c in ("piece", "doc_id")]
         order = np.lexsort([*keys, -length])
         rows, length = rows.take(pa.array(order)), length[order]
-        demands = np.stack([length, np.ones_like(length), length * length], axis=1)
+        demands = np.stack([length, np.ones_like(length), length * length + TILE], axis=1)
         whole = int((length == tokens).sum())  # they come first, each in a sequence of its own
         bins, places = best_fit(demands[whole:], capacities, np.array(weights), by)
         shard = TaskContext.get().partitionId() << 32
