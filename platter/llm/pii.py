@@ -1,14 +1,16 @@
 """Personal data by anchor expansion (operator 10).
 
-Base spans are those of the contract's patterns. E-mail addresses, whose
-pattern would be tried at every letter, are expanded from their at-signs by a
-local parser that gives the same leftmost non-overlapping matches; the other
-base patterns start at digits or a plus sign and run as they are.
+One pass of an Aho-Corasick automaton over the lower-cased text finds the
+anchors: at-signs, plus signs, schemes (`https://`), obfuscated at-signs
+(` (at) `) and identifier cues (`password=`, `token =`, `iban`, `account`).
 
-The method adds spans: an Aho-Corasick automaton of cues over the lower-cased
-text finds schemes (`https://`), obfuscated at-signs (` (at) `) and identifier
-cues (`password=`, `token =`, `iban`, `account`). From each a deterministic
-parser expands and validates the boundary:
+Base spans are those of the contract's patterns, leftmost and non-overlapping.
+E-mail addresses are expanded from at-signs, phone numbers from plus signs. The
+other two kinds have no anchor but their digits: maximal runs of digits, with
+points or with spaces and hyphens between, are read once and cut.
+
+The method adds spans. From each further anchor a deterministic parser expands
+and validates the boundary:
 
 * email: `name (at) host (dot) tld`, words of letters, digits, dots and hyphens;
 * url: an address with user information (`scheme://user:secret@host`) or a
@@ -20,7 +22,9 @@ parser expands and validates the boundary:
   and where no cue stands, a listed country code and two digits are its anchor.
 
 Defined results: null is the empty text and has no spans. Base spans stay; an
-added span that overlaps a base span or an earlier added one is dropped.
+added span that overlaps a base span or an earlier added one is dropped. Very
+long texts: each parser reads a character a bounded number of times, so time
+and memory grow with the length.
 """
 
 from __future__ import annotations
@@ -40,7 +44,8 @@ KINDS = BASE + ADDED
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
+#: Four or more numbers with points between: the pattern's matches are each four of them in turn.
+_NUMBERS = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3,}+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
@@ -48,7 +53,8 @@ _NOT_DIGIT = re.compile(r"[^0-9]")
 
 _SECRET = re.compile(r"\s{0,3}[=:]\s{0,3}([\"']?)([A-Za-z0-9+/_\-]{12,})\1")
 _URL = re.compile(r"[^\s<>\"']+")
-_PERSONAL_FIELD = re.compile(r"[?&](?:email|e-mail|phone|tel|user|username|name|ssn)=[^&#]+", re.I)
+_PERSONAL_FIELD = re.compile(r"[?&](?:email|e-mail|phone|tel|user|username|name|ssn)=(?=[^&#])", re.I)
+_AUTHORITY = re.compile(r"[^/?#]*")
 _OBFUSCATED = re.compile(
     r"([A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*)((?:\s?(?:\(dot\)|\[dot\]|\{dot\})\s?|\.)[A-Za-z0-9-]+)+", re.I
 )
@@ -74,6 +80,8 @@ _ACCOUNT = re.compile(r"(?:\s?(?:no\.?|number|nr\.?|#))?\s{0,2}[:=#]?\s{0,2}([0-
 _GAP = re.compile(r"[\x20:]{0,2}")
 
 _CUES = {
+    "@": "@",
+    "+": "+",
     **dict.fromkeys(("http://", "https://", "ftp://", "ssh://", "mailto:"), "url"),
     **dict.fromkeys(("(at)", "[at]", "{at}"), "at"),
     **dict.fromkeys(("password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "api-key"), "secret"),
@@ -96,17 +104,53 @@ def automaton():
     return _automaton
 
 
-def emails(text: str) -> list[tuple[int, int]]:
+def lower_case(text: str) -> str:
+    """Lower case, a code point for each."""
+    lower = text.lower()
+    if len(lower) != len(text):  # a letter whose lower case has two code points
+        lower = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+    return lower
+
+
+def anchors(lower: str) -> list[tuple[int, int, str]]:
+    """(start, end, kind) of every cue, ascending by end."""
+    return [(end + 1 - length, end + 1, kind) for end, (length, kind) in automaton().iter(lower)]
+
+
+def emails(text: str, ats: list[int]) -> list[tuple[int, int]]:
     """Matches of the e-mail pattern, leftmost and non-overlapping, from the at-signs."""
-    out, done, at = [], 0, text.find("@")
-    while at >= 0:
+    out, done = [], 0
+    for at in ats:
         start = at
         while start > done and text[start - 1] in _LOCAL:
             start -= 1
         if start < at and (m := _DOMAIN.match(text, at + 1)):
             out.append((start, m.end()))
             done = m.end()
-        at = text.find("@", at + 1)
+    return out
+
+
+def phones(text: str, pluses: list[int]) -> list[tuple[int, int]]:
+    out, done = [], 0
+    for at in pluses:
+        if at >= done and (m := _PHONE.match(text, at)):
+            done = m.end()
+            if 8 <= len(_NOT_DIGIT.sub("", m.group())) <= 15:
+                out.append(m.span())
+    return out
+
+
+def addresses(text: str) -> list[tuple[int, int]]:
+    """Matches of the ip pattern whose parts are at most 255."""
+    out = []
+    for m in _NUMBERS.finditer(text):
+        at, parts = m.start(), m.group().split(".")
+        for i in range(0, len(parts) - 3, 4):
+            four = parts[i : i + 4]
+            end = at + sum(map(len, four)) + 3
+            if all(len(p.lstrip("0")) < 4 and int(p.lstrip("0") or "0") <= 255 for p in four):
+                out.append((at, end))
+            at = end + 1
     return out
 
 
@@ -120,25 +164,22 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
-def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
+def base_spans(text: str, found: list[tuple[int, int, str]]) -> dict[str, list[tuple[int, int]]]:
+    """found: the text's anchors."""
     out: dict[str, list[tuple[int, int]]] = {k: [] for k in BASE}
-    if "@" in text:
-        out["email"] = emails(text)
+    if ats := [start for start, _, kind in found if kind == "@"]:
+        out["email"] = emails(text, ats)
     if not _DIGIT.search(text):
         return out
     if "." in text:
-        for m in _IP.finditer(text):
-            if all(len(p.lstrip("0")) < 4 and int(p.lstrip("0") or "0") <= 255 for p in m.group().split(".")):
-                out["ip"].append(m.span())
+        out["ip"] = addresses(text)
     for m in _CARD.finditer(text):
         if m.end() - m.start() > 15:
             digits = _NOT_DIGIT.sub("", m.group())
             if 16 <= len(digits) <= 19 and luhn(digits):
                 out["card"].append(m.span())
-    if "+" in text:
-        for m in _PHONE.finditer(text):
-            if 8 <= len(_NOT_DIGIT.sub("", m.group())) <= 15:
-                out["phone"].append(m.span())
+    if pluses := [start for start, _, kind in found if kind == "+"]:
+        out["phone"] = phones(text, pluses)
     return out
 
 
@@ -179,7 +220,30 @@ class _Taken:
         return True
 
 
-def _expand(text: str, lower: str, start: int, after: int, kind: str) -> tuple[str, int, int] | None:
+class _Urls:
+    """Addresses around scheme cues. A run of characters that an address may have is read once, however many cues it holds."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.run_end = self.end = self.personal = -1
+        self.authority_end = self.colon = self.at = -1
+
+    def expand(self, start: int, after: int) -> tuple[str, int, int] | None:
+        if start >= self.run_end:
+            m = _URL.match(self.text, start)
+            self.run_end, self.end = m.end(), start + len(m.group().rstrip(".,;:!?)"))
+            # where the last personal field begins
+            self.personal = max((f.start() for f in _PERSONAL_FIELD.finditer(self.text, start, self.end)), default=-1)
+        if self.personal < start:
+            if after >= self.authority_end:
+                self.authority_end = _AUTHORITY.match(self.text, after, max(after, self.end)).end()
+                self.colon, self.at = (self.text.rfind(c, after, self.authority_end) for c in ":@")
+            if self.colon < after or self.at < after:
+                return None
+        return ("url", start, self.end) if self.end > start else None
+
+
+def _expand(text: str, lower: str, start: int, after: int, kind: str, urls: _Urls) -> tuple[str, int, int] | None:
     """The validated span around the cue text[start:after], if there is one."""
     if kind == "secret":
         m = _SECRET.match(text, after)
@@ -193,10 +257,9 @@ def _expand(text: str, lower: str, start: int, after: int, kind: str) -> tuple[s
         if left and m:
             return ("email", start - len(before) + left.start(), m.end())
     elif kind == "url":
-        whole = _URL.match(text, start).group().rstrip(".,;:!?)")
-        authority = re.split(r"[/?#]", whole[after - start :], maxsplit=1)[0]
-        if (":" in authority and "@" in authority) or _PERSONAL_FIELD.search(whole):
-            return ("url", start, start + len(whole))
+        return urls.expand(start, after)
+    elif kind in "@+":
+        return None
     elif start == 0 or not lower[start - 1].isalnum():
         at = _GAP.match(text, after).end()
         if end := iban_end(text, at):
@@ -208,19 +271,18 @@ def _expand(text: str, lower: str, start: int, after: int, kind: str) -> tuple[s
     return None
 
 
-def added_spans(text: str, base: dict[str, list[tuple[int, int]]]) -> dict[str, list[tuple[int, int]]]:
+def added_spans(
+    text: str, lower: str, found: list[tuple[int, int, str]], base: dict[str, list[tuple[int, int]]]
+) -> dict[str, list[tuple[int, int]]]:
     """Spans expanded from cues, by kind; none overlaps a base span or an earlier added one."""
     out: dict[str, list[tuple[int, int]]] = {"email": [], **{k: [] for k in ADDED}}
-    lower = text.lower()
-    if len(lower) != len(text):  # a letter whose lower case has two code points
-        lower = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-    taken = None
-    for end, (length, kind) in automaton().iter(lower):
-        found = _expand(text, lower, end + 1 - length, end + 1, kind)
-        if found:
+    taken, urls = None, _Urls(text)
+    for start, after, kind in found:
+        span = _expand(text, lower, start, after, kind, urls)
+        if span:
             taken = taken or _Taken([s for k in BASE for s in base[k]])
-            if taken.claim(*found[1:]):
-                out[found[0]].append(found[1:])
+            if taken.claim(*span[1:]):
+                out[span[0]].append(span[1:])
     for m in _IBAN_ANCHOR.finditer(text):
         at = m.start()
         if (not at or not _ALNUM.match(text, at - 1)) and (end := iban_end(text, at)):
@@ -236,8 +298,10 @@ def joined(spans: dict[str, list[tuple[int, int]]]) -> str:
 
 def find(text: str) -> tuple[dict[str, list[tuple[int, int]]], dict[str, list[tuple[int, int]]]]:
     """Base spans, all spans."""
-    base = base_spans(text)
-    added = added_spans(text, base)
+    lower = lower_case(text)
+    cues = anchors(lower)
+    base = base_spans(text, cues)
+    added = added_spans(text, lower, cues, base)
     return base, {k: sorted(base.get(k, []) + added.get(k, [])) for k in KINDS}
 
 
