@@ -4,15 +4,17 @@ A vocabulary's tokens, their bytes mapped to Latin-1, make one automaton. From
 each position the longest token that starts there is tried; two neighbours are
 compatible if merging their bytes by rank gives just these two, which is read
 off the two tokens' own merge trees and memoised; a position that leads nowhere
-is marked and never tried again, so a piece of n bytes takes time linear in n.
+is marked and never tried again, so a piece of n bytes takes time linear in n:
+the longest match at a place is looked for in a window of the longest token.
 The encoding is the one that merging by rank gives.
 
 A token that merging its own bytes doesn't give back never arises inside a
 piece; it is left out of the automaton and stands for a whole piece only.
 Whole pieces are looked up first, as tiktoken does, and pieces and words
-between single spaces are remembered, within a bound.
+between single spaces are remembered, if short and within a bound.
 
-Defined results: null is the empty text, of no ids.
+Defined results: null is the empty text, of no ids. Very long texts and pieces:
+time grows with the length, memory by some 100 bytes a byte of the longest.
 """
 
 from __future__ import annotations
@@ -29,8 +31,9 @@ from pyspark.sql import DataFrame
 
 from platter.llm._common import as_binary, map_batches
 
-#: Words remembered by a process.
-MEMO_WORDS = 300_000
+#: Words remembered by a process, and the most characters of one.
+MEMO_WORDS, MEMO_CHARS = 300_000, 64
+MEMO_PAIRS = 500_000
 _COMMON_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: A word that _COMMON_PATTERN cuts before its point, if it has one.
 _SIMPLE = re.compile(r"( ?[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+)([.,;:!?]?)")
@@ -60,6 +63,7 @@ class BytePairEncoder:
                 self._pair.setdefault(parts, rank)
                 usable.append(token)
         self._longest = self._automaton(usable)
+        self._reach = max(map(len, usable), default=1)
 
     def _halves(self, token: bytes) -> tuple[int, int] | None:
         """The last two parts when token's bytes are merged by rank; None if a token remains unreached."""
@@ -102,7 +106,7 @@ class BytePairEncoder:
         """Whether merging the bytes of both tokens by rank gives these two and no other."""
         known = self._fits.get((left, right))
         if known is None:
-            if len(self._fits) > 1_000_000:
+            if len(self._fits) > MEMO_PAIRS:
                 self._fits.clear()
             known = self._fits[left, right] = self._compatible(left, right)
         return known
@@ -168,9 +172,9 @@ class BytePairEncoder:
         return out
 
     def _at(self, text: str, at: int) -> int:
-        """The longest token that starts at a place."""
-        for end, token in self._longest.iter_long(text, at):
-            if end + 1 - len(self.bytes_of[token]) != at:
+        """The longest token that starts at a place. The search copies its text, so it gets a window."""
+        for end, token in self._longest.iter_long(text[at : at + self._reach]):
+            if end + 1 != len(self.bytes_of[token]):
                 break
             return token
         raise ValueError("the vocabulary lacks a byte")
@@ -201,13 +205,15 @@ def words_of(text: str) -> list[str] | None:
 
 
 class Memo(dict):
-    """Word to what `make` gives for it; when it is full, the newer half goes: frequent words come early."""
+    """Word to what `make` gives for it; when it is full, the newer half goes: frequent words come early. Long words aren't held."""
 
     def __init__(self, make, most: int = MEMO_WORDS):
         super().__init__()
         self.make, self.most = make, most
 
     def __missing__(self, word: str):
+        if len(word) > MEMO_CHARS:
+            return self.make(word)
         if len(self) >= self.most:
             for old in list(islice(self, self.most // 2, None)):
                 del self[old]
@@ -245,10 +251,7 @@ def round_trip_digest(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         counts, ids_sha, text_sha = [], [], []
         for text in batch.column("text").to_pylist():
             parts = (words_of(text) or [text]) if text else []
-            if len(parts) == 1 and len(parts[0]) > 256:
-                found = [words.make(parts[0])]  # a long part isn't worth remembering
-            else:
-                found = list(map(words.__getitem__, parts))
+            found = list(map(words.__getitem__, parts))
             counts.append(sum([f[2] for f in found]))
             ids_sha.append(hashlib.sha256(",".join([f[0] for f in found]).encode()).hexdigest())
             text_sha.append(hashlib.sha256(b"".join([f[1] for f in found])).hexdigest())
