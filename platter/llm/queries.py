@@ -90,57 +90,76 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
 FROM marked GROUP BY doc_id
 """
 
+def _op9_dots(path: str) -> str:
+    return f"""CASE WHEN {path} = '' THEN '/' WHEN NOT contains({path}, '/.') THEN {path} ELSE coalesce(nullif(
+      list_reduce(list_prepend('', string_split(substr({path}, 2), '/')), lambda done, x:
+        CASE x WHEN '..' THEN regexp_replace(done, '/[^/]*$', '') WHEN '.' THEN done ELSE done || '/' || x END)
+      || CASE WHEN regexp_matches({path}, '/[.][.]?$') THEN '/' ELSE '' END, ''), '/') END"""
+
+
+def _op9_value(name: str) -> str:
+    pattern = rf"""(?i)[\s"''/]{name}\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))"""
+    return " || ".join(f"regexp_extract(tag, '{pattern}', {i})" for i in (1, 2, 3))
+
+
+def _op9_decoded(text: str) -> str:
+    for char, names in (("/", "sol|#0*47|#x0*2f"), (":", "colon|#0*58|#x0*3a"), ("=", "equals|#0*61|#x0*3d"), ("?", "quest|#0*63|#x0*3f"), ("&", "amp|#0*38|#x0*26")):
+        text = f"regexp_replace({text}, '(?i)&(?:{names});', '{char}', 'g')"
+    return text
+
+
+def _op9_rule(path: str) -> str:
+    return f"""CASE
+    WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with({path}, '/en/7') THEN 'example.com/en/7'
+    WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with({path}, '/de/8') THEN 'example.net/de/8'
+    WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with({path}, '/en/') THEN 'com/en/'
+    WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with({path}, '/de/') THEN 'net/de/'
+    WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with({path}, '/es/') THEN 'org/es/' END"""
+
+
+_OP9_PARTS = f"""translate(regexp_extract(rest, '^[^/?#]*'), '{_UPPER}', '{_LOWER}') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(rest, '^[^#?]*([?][^#]*)?', 1) AS query"""
+_OP9_BLOCKS = "('com/en/', 'example.net/de/8', 'org/es/')"
+
 _OP9_SQL = rf"""
 WITH RECURSIVE split AS (
-  SELECT page_id, url, coalesce(html, '') AS html,
+  SELECT page_id, coalesce(strpos(url, '://') > 0, false) AS usable, coalesce(html, '') AS html,
          CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
   FROM pages),
-parts AS (
-  SELECT page_id, url, html, rest, regexp_extract(rest, '^[^/?#]*') AS raw_host FROM split),
+parts AS (SELECT page_id, usable, html, {_OP9_PARTS} FROM split),
 judged AS (
-  SELECT page_id, url, html, translate(raw_host, '{_UPPER}', '{_LOWER}') AS host,
-         regexp_extract(substr(rest, length(raw_host) + 1), '^[^?#]*') AS path,
-         regexp_extract(rest, '^[^#?]*([?][^#]*)?', 1) AS query
-  FROM parts),
-ruled AS (
-  SELECT *, host || CASE WHEN path = '' THEN '/' ELSE path END || query AS id, CASE
-    WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/en/7') THEN 'example.com/en/7'
-    WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/de/8') THEN 'example.net/de/8'
-    WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/en/') THEN 'com/en/'
-    WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/de/') THEN 'net/de/'
-    WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/es/') THEN 'org/es/' END AS rule
-  FROM judged),
-by_rule AS (
-  SELECT *, CASE WHEN rule IN ('com/en/', 'example.net/de/8', 'org/es/') THEN 'block'
-                 WHEN rule IS NOT NULL THEN 'allow' END AS by_rule FROM ruled),
-targets AS (
-  SELECT id, url, unnest([
-    regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*\bhref\s*=\s*["'']?([^"''\s>]+)', 1),
-    regexp_extract(html, '(?is)<link\b[^>]*\bhref\s*=\s*["'']?([^"''\s>]+)[^>]*\brel\s*=\s*["'']?canonical\b', 1),
-    regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*url\s*=\s*["'']?([^"''\s>]+)', 1)]) AS t
-  FROM by_rule WHERE host <> '' AND (html ILIKE '%canonical%' OR html ILIKE '%refresh%')),
-absolute AS (
-  SELECT id AS u, CASE
-    WHEN strpos(t, '://') > 0 THEN t
-    WHEN starts_with(t, '//') THEN split_part(url, '://', 1) || ':' || t
-    WHEN starts_with(t, '/') THEN regexp_extract(url, '^[^:/?#]*://[^/?#]*') || t
-    WHEN regexp_extract(url, '^[^:/?#]*://[^?#]*/') = '' THEN regexp_extract(url, '^[^:/?#]*://[^/?#]*') || '/' || t
-    ELSE regexp_extract(url, '^[^:/?#]*://[^?#]*/') || t END AS whole
-  FROM targets WHERE t <> ''),
-edges AS (
-  SELECT u, translate(regexp_extract(substr(whole, strpos(whole, '://') + 3), '^[^/?#]*'), '{_UPPER}', '{_LOWER}')
-    || CASE WHEN regexp_extract(substr(whole, strpos(whole, '://') + 3), '^[^/?#]*([^?#]*)', 1) = '' THEN '/'
-            ELSE regexp_extract(substr(whole, strpos(whole, '://') + 3), '^[^/?#]*([^?#]*)', 1) END
-    || regexp_extract(substr(whole, strpos(whole, '://') + 3), '^[^#?]*([?][^#]*)?', 1) AS v
-  FROM absolute),
-both_ways AS (SELECT u, v FROM edges UNION SELECT v, u FROM edges),
+  SELECT *, host || {_op9_dots("path")} || query AS id, {_op9_rule("path")} AS rule FROM parts),
+tags AS (
+  SELECT id, host, path, rule, unnest(regexp_extract_all(html, '(?i)<(?:link|meta)\b[^<>]*>')) AS tag FROM judged WHERE usable),
+raw AS (
+  SELECT id, host, path, rule, trim({_op9_decoded("CASE WHEN is_link THEN href ELSE fresh END")}) AS t FROM (
+    SELECT *, starts_with(lower(tag), '<link') AS is_link, {_op9_value("href")} AS href,
+           regexp_extract({_op9_value("content")}, '(?i)url\s*=\s*["'']?([^"'']*)', 1) AS fresh FROM tags)
+  WHERE CASE WHEN is_link
+    THEN regexp_matches(tag, '(?i)[\s"''/]rel\s*=\s*("[^"]*\bcanonical\b|''[^'']*\bcanonical\b|canonical\b)')
+    ELSE regexp_matches(tag, '(?i)[\s"''/]http-equiv\s*=\s*["'']?\s*refresh\b') END),
+aimed AS (
+  SELECT id AS u, rule AS u_rule, CASE
+    WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN substr(t, strpos(t, '://') + 3)
+    WHEN starts_with(t, '//') THEN substr(t, 3)
+    WHEN starts_with(t, '/') THEN host || t
+    WHEN starts_with(t, '?') THEN host || path || t
+    ELSE host || coalesce(nullif(regexp_replace(path, '[^/]*$', ''), ''), '/') || t END AS rest
+  FROM raw WHERE t <> '' AND NOT starts_with(t, '#')
+    AND (regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') OR NOT regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:'))),
+ends AS (
+  SELECT u, u_rule, host || {_op9_dots("path")} || query AS v, {_op9_rule("dotless")} AS v_rule
+  FROM (SELECT *, {_op9_dots("path")} AS dotless FROM (SELECT u, u_rule, {_OP9_PARTS} FROM aimed))),
+both_ways AS (
+  SELECT u, v, u_rule AS rule FROM ends WHERE u <> v UNION SELECT v, u, v_rule FROM ends WHERE u <> v),
 reach AS (
-  SELECT id FROM by_rule WHERE by_rule = 'block'
+  SELECT u AS id FROM both_ways WHERE rule IN {_OP9_BLOCKS}
   UNION
   SELECT e.v FROM reach r JOIN both_ways e ON e.u = r.id)
-SELECT page_id, host, path, rule, coalesce(by_rule, CASE WHEN id IN (SELECT id FROM reach)
-         AND id IN (SELECT u FROM both_ways) THEN 'block' ELSE 'allow' END) AS verdict
-FROM by_rule
+SELECT page_id, host, path, rule, CASE
+    WHEN rule IN {_OP9_BLOCKS} THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
+    WHEN usable AND id IN (SELECT id FROM reach) THEN 'block' ELSE 'allow' END AS verdict
+FROM judged
 """
 
 ORACLE: dict[str, str] = {

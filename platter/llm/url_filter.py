@@ -4,22 +4,34 @@ Rules are (host, path, verdict). A rule fits its host and all subdomains where
 the url's path starts with the rule's; the longest (host and path together)
 wins. Where no rule fits, aliases decide: redirect and canonical-link edges,
 taken from the pages' own markup, join urls into components, found by
-alternating stars. A component that holds a page blocked by a rule blocks its
-pages without a rule; an explicit allow of a page always stands for that page.
-Else the verdict is `default`.
-
-A url's identity is its host, path and query; scheme and fragment don't count.
-Defined results: null urls and urls without `://` have an empty host and path,
-fit no rule and take the default. Repeated rows are judged alike. Null or
-empty html has no edges.
+alternating stars. A component in which a rule blocks any url, whether the
+table holds its page or an edge alone names it, blocks its pages without a rule;
+an explicit allow of a page always stands for that page. Else the verdict is
+`default`.
+
+Edges: every `<link>` tag with `canonical` among the words of its rel, and
+every `<meta>` refresh; names in any case. Entities of `&`, `/`, `:`, `=`, `?`
+are decoded, references resolved against the page's url (scheme-relative,
+absolute and relative paths, queries alone) and dot segments removed. A tag ends
+at its first `>`; `<base>` isn't regarded.
+
+A url's identity is its host, path and query, as 128 bits; scheme and fragment
+don't count. Defined results: null urls and urls without `://` have an empty
+host and path, fit no rule and take the default. Repeated rows are judged
+alike. Null or empty html has no edges. Very long html is searched in linear
+time. Extra columns are left out.
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from platter.llm._common import Scratch
+from platter.llm._common import Scratch, map_batches
 from platter.llm.components import components
 
 RULES = (
@@ -30,8 +42,19 @@ RULES = (
     ("org", "/es/", "block"),
 )
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_CANONICAL = r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*\bhref\s*=\s*[\"']?([^\"'\s>]+)"
-_REFRESH = r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*\bcontent\s*=\s*[\"'][^\"'>]*?url\s*=\s*[\"']?([^\"'\s>]+)"
+_LOWERED = str.maketrans(_UPPER, _LOWER)
+_TAG = re.compile(r"<(link|meta)\b[^<>]*+>", re.I | re.A)
+_IS_CANONICAL = re.compile(r"[\s\"'/]rel\s*=\s*(?:\"[^\"]*\bcanonical\b|'[^']*\bcanonical\b|canonical\b)", re.I | re.A)
+_IS_REFRESH = re.compile(r"[\s\"'/]http-equiv\s*=\s*[\"']?\s*refresh\b", re.I | re.A)
+_VALUES = {n: re.compile(rf"[\s\"'/]{n}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I | re.A) for n in ("href", "content")}
+_IN_CONTENT = re.compile(r"url\s*=\s*[\"']?([^\"']*)", re.I | re.A)
+#: Entities of the characters that part a url; ampersands last: what they make isn't decoded again.
+_ENTITIES = [
+    (re.compile(f"&(?:{names});", re.I), char)
+    for char, names in (("/", "sol|#0*47|#x0*2f"), (":", "colon|#0*58|#x0*3a"), ("=", "equals|#0*61|#x0*3d"), ("?", "quest|#0*63|#x0*3f"), ("&", "amp|#0*38|#x0*26"))
+]
+_SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*:")
+_PARTS = re.compile(r"([^/?#]*)([^?#]*)(\?[^#]*)?")
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
@@ -53,64 +76,125 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return text, verdict
 
 
-def _identity(url: Column) -> Column:
-    host, path = host_path(url)
-    query = F.regexp_extract(url, r"^[^#?]*(\?[^#]*)?", 1)
-    return F.xxhash64(host, F.when(path == "", "/").otherwise(path), query)
+def without_dots(path: str) -> str:
+    """Dot segments of an absolute path removed; a path that ends in one keeps its last slash."""
+    if "/." not in path:
+        return path or "/"
+    done: list[str] = []
+    parts = path[1:].split("/")
+    for x in parts:
+        if x == "..":
+            del done[-1:]
+        elif x != ".":
+            done.append("/" + x)
+    return "".join(done) + ("/" if parts[-1] in (".", "..") else "") or "/"
+
+
+def parts_of(url: str) -> tuple[str, str, str]:
+    """Host, A-Z lower-cased, path and query."""
+    host, path, query = _PARTS.match(url.partition("://")[2]).groups()
+    return host.translate(_LOWERED), path, query or ""
+
+
+def identity(host: str, path: str, query: str) -> str:
+    return hashlib.md5((host + without_dots(path) + query).encode("utf-8", "replace")).hexdigest()
+
+
+def rule_verdict(host: str, path: str, rules=RULES) -> str | None:
+    """Verdict of the longest rule that fits."""
+    fits = [r for r in rules if (host == r[0] or host.endswith("." + r[0])) and path.startswith(r[1])]
+    return max(fits, key=lambda r: len(r[0] + r[1]))[2] if fits else None
+
+
+def references(html: str) -> list[str]:
+    """What canonical links and refreshes point to, decoded."""
+    out = []
+    for m in _TAG.finditer(html):
+        tag = m.group()
+        if m.group(1).lower() == "link":
+            value = _VALUES["href"].search(tag) if _IS_CANONICAL.search(tag) else None
+        else:
+            value = _VALUES["content"].search(tag) if _IS_REFRESH.search(tag) else None
+        to = next((g for g in value.groups() if g), "") if value else ""
+        if to and m.group(1).lower() == "meta":
+            to = inner.group(1) if (inner := _IN_CONTENT.search(to)) else ""
+        if "&" in to:
+            for entity, char in _ENTITIES:
+                to = entity.sub(char, to)
+        if to := to.strip(" "):
+            out.append(to)
+    return out
+
+
+def target(to: str, host: str, path: str) -> tuple[str, str, str] | None:
+    """Host, path and query of a reference on a page; None where it is no other place."""
+    if m := _SCHEME.match(to):
+        return parts_of(to) if to.startswith("//", m.end()) else None
+    if to.startswith("#"):
+        return None
+    if to.startswith("//"):
+        rest = to[2:]
+    elif to.startswith("/"):
+        rest = host + to
+    elif to.startswith("?"):
+        rest = host + path + to
+    else:
+        rest = host + (path.rpartition("/")[0] + "/") + to
+    return parts_of("://" + rest)
 
 
-def _resolved(target: Column, url: Column) -> Column:
-    """An absolute, scheme-relative or root-relative reference; others are relative to the page's folder."""
-    scheme = F.substring_index(url, "://", 1)
-    origin = F.regexp_extract(url, r"^[^:/?#]*://[^/?#]*", 0)
-    folder = F.regexp_extract(url, r"^[^:/?#]*://[^?#]*/", 0)
-    return (
-        F.when(F.instr(target, "://") > 0, target)
-        .when(target.startswith("//"), F.concat(scheme, F.lit(":"), target))
-        .when(target.startswith("/"), F.concat(origin, target))
-        .otherwise(F.concat(F.when(folder == "", F.concat(origin, F.lit("/"))).otherwise(folder), target))
-    )
+def link_edges(pages: DataFrame, rules=RULES) -> DataFrame:
+    """(u, v, u_verdict, v_verdict) of redirects and canonical links, with the verdict of the rule that fits each end."""
 
+    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = set()
+        for url, html in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist()):
+            if refs := references(html):
+                own = parts_of(url)
+                u, u_verdict = identity(*own), rule_verdict(*own[:2], rules)
+                for place in filter(None, (target(to, *own[:2]) for to in refs)):
+                    v = identity(*place)
+                    if u != v:
+                        found.add((u, v, u_verdict, rule_verdict(place[0], without_dots(place[1]), rules)))
+        names = ("u", "v", "u_verdict", "v_verdict")
+        return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.string()) for i in range(4)], names)
 
-def link_edges(pages: DataFrame) -> DataFrame:
-    """(u, v) of redirects and canonical links; identities are 64-bit hashes."""
-    html = F.col("html")
-    cue = html.contains("canonical") | html.contains("refresh") | html.contains("CANONICAL") | html.contains("REFRESH") | html.contains("Canonical") | html.contains("Refresh")
-    targets = pages.where(cue & (F.instr("url", "://") > 0)).select(
-        "url", F.explode(F.array(F.regexp_extract("html", _CANONICAL, 1), F.regexp_extract("html", _REFRESH, 1))).alias("to")
-    )
-    return targets.where("to != ''").select(
-        _identity(F.col("url")).alias("u"), _identity(_resolved(F.col("to"), F.col("url"))).alias("v")
-    )
+    lower = F.lower("html")
+    cue = (lower.contains("canonical") | lower.contains("refresh")) & (F.instr("url", "://") > 0)
+    return map_batches(pages.where(cue).select("url", "html"), one, "u string, v string, u_verdict string, v_verdict string").distinct()
+
+
+def _identities(url: Column) -> Column:
+    @F.pandas_udf("string")
+    def of(urls):
+        return type(urls)([identity(*parts_of(u)) if u and "://" in u else None for u in urls], index=urls.index, dtype=object)
+
+    return of(url)
 
 
 def judge_urls(pages: DataFrame, rules=RULES, default: str = "allow") -> DataFrame:
     """page_id, host, path, rule, verdict, alias_component (null for pages that no edge names)."""
     host, path = host_path(F.col("url"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    judged = (
-        pages.select("page_id", "url", host.alias("host"), path.alias("path"))
-        .withColumns({"rule": rule, "by_rule": verdict})
-        .withColumn("id", F.when((F.col("host") != "") | (F.col("path") != ""), _identity(F.col("url"))))
-    )
+    judged = pages.select("page_id", "url", host.alias("host"), path.alias("path")).withColumns({"rule": rule, "by_rule": verdict})
     scratch = Scratch(pages.sparkSession, "url-filter")
-    edges = scratch.table(link_edges(pages).distinct(), "edges")
+    edges = scratch.table(link_edges(pages, rules), "edges")
     if edges.isEmpty():
-        aliases = None
-    else:
-        aliases = scratch.table(components(edges, scratch), "aliases")
-    if aliases is None:
-        out = judged.withColumns({"alias_component": F.lit(None).cast("long"), "blocked": F.lit(False)})
+        out = judged.withColumns({"alias_component": F.lit(None).cast("string"), "blocked": F.lit(False)})
     else:
-        placed = judged.join(aliases.withColumnRenamed("node", "id"), "id", "left").withColumnRenamed(
-            "component", "alias_component"
+        groups = scratch.table(components(edges.select("u", "v"), scratch), "groups")
+        ends = edges.select(F.col("u").alias("id"), F.col("u_verdict").alias("verdict")).unionByName(
+            edges.select(F.col("v").alias("id"), F.col("v_verdict").alias("verdict"))
         )
-        blocked = (
-            placed.where("by_rule = 'block' and alias_component is not null")
-            .select("alias_component", F.lit(True).alias("blocked"))
-            .distinct()
+        bad = ends.where("verdict = 'block'").select(F.col("id").alias("node")).distinct()
+        bad = groups.join(bad, "node").select("component", F.lit(True).alias("blocked")).distinct()
+        aliases = groups.join(bad, "component", "left").select(
+            F.col("node").alias("id"), F.col("component").alias("alias_component"), "blocked"
         )
-        out = placed.join(blocked, "alias_component", "left")
+        # A row for each identity that an edge names. Urls without one get a value of their own: nulls would meet in one task.
+        spread = F.concat(F.lit("none "), F.xxhash64("page_id", "url").cast("string"))
+        out = judged.withColumn("id", F.coalesce(_identities(F.col("url")), spread))
+        out = out.join(aliases, "id", "left")
     return out.select(
         "page_id",
         "host",
