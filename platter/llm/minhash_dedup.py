@@ -13,9 +13,14 @@ No bucket is expanded into its pairs. First each member is compared with the
 bucket's least member only; groups of copies become components here. Large
 buckets that still hold several components are tried with another member. What
 then remains, pairs of one bucket but of two components, is searched by blocks
-of signatures, and only pairs whose signatures agree are rows. So links between
-members of a component that are already joined are not looked for: components
-are exact, copies aren't expanded.
+of signatures, and only pairs whose signatures agree are rows. Members of
+buckets of `HOT` or more are first parted by their rarest shingles: two sets of
+similarity t share one of the n - ceil(t n) + 1 rarest of each, whatever order
+"rare" is, so texts that have only a common template meet in no group. Links
+between members of a component that are already joined are not looked for:
+components are exact, copies aren't expanded.
+
+Very long texts: time grows with the length, memory by some 100 bytes a word.
 
 Defined results: null and empty texts and texts without a word have an empty
 set and link with nothing. Rows that repeat a doc_id are judged each by its
@@ -42,13 +47,18 @@ HASHES, ROWS = 128, 4
 DESIGNS = ((85, 20, 88), (80, 28, 79))
 #: Buckets of at least so many members get a second pivot; members of a block; partners of a pivot in a task.
 LARGE, BLOCK, STAR = 32, 512, 2000
-CACHED_WORDS = 250_000
+#: Buckets of at least so many members are parted by rare shingles, of which 2**RARE_BITS counters tell how rare.
+HOT, RARE_BITS = 256, 20
+#: Words remembered by a process, and the most bytes of one.
+CACHED_WORDS, CACHED_BYTES = 250_000, 64
 
 _K = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 
 
 class _Words(dict):
     def __missing__(self, word: bytes) -> int:
+        if len(word) > CACHED_BYTES:
+            return xxhash.xxh3_64_intdigest(word)
         if len(self) >= CACHED_WORDS:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
@@ -289,9 +299,56 @@ class _Search:
             ends = (F.least("rep", "o.rep").alias("p"), F.greatest("rep", "o.rep").alias("x"))
             self.confirm(pairs.select(*ends).distinct(), True)
             rest = self.scratch.table(self.mixed().where("size > 2"), "mixed-2")
+        hot = rest.where(F.col("size") >= HOT)
+        if not hot.isEmpty():
+            rest = rest.where(F.col("size") < HOT).unionByName(self._parted(hot))
         if not rest.isEmpty():
             self.confirm(self._across(rest), False)
 
+    def _parted(self, hot: DataFrame) -> DataFrame:
+        """Members of hot buckets by each of their rarest shingles that several components hold, in the form of members."""
+        if self.sets is None:
+            self._make_sets()
+        sets = self.scratch.table(
+            hot.select("rep", "component").distinct().join(self.sets, "rep").select("rep", "component", "shingles"), "hot-sets"
+        )
+        shift, percent = np.uint64(64 - RARE_BITS), self.percent
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(1 << RARE_BITS, np.int64)
+            for batch in batches:
+                for data in batch.column("shingles"):
+                    total += np.bincount((np.frombuffer(data.as_buffer(), np.uint64) >> shift).astype(np.int64), minlength=len(total))
+            at = np.flatnonzero(total)
+            for i in range(0, len(at), 1 << 16):
+                part = at[i : i + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], ("at", "n"))
+
+        counted = sets.select("shingles").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+        counters = np.zeros(1 << RARE_BITS, np.int64)  # the driver's bound: a row a counter
+        counters[counted["at"].to_numpy(np.int64)] = counted["n"].to_numpy(np.int64)
+        common = self.classes.sparkSession.sparkContext.broadcast(counters)
+
+        def rarest(batch: pa.RecordBatch) -> pa.RecordBatch:
+            found, many = [], []
+            for data in batch.column("shingles"):
+                s = np.frombuffer(data.as_buffer(), np.uint64)
+                keep = len(s) + (-len(s) * percent) // 100 + 1  # n - ceil(t n) + 1
+                found.append(s[np.lexsort((s, common.value[(s >> shift).astype(np.int64)]))[:keep]])
+                many.append(keep)
+            at = pa.array(np.repeat(np.arange(len(many)), many))
+            names = ("bucket", "rep", "component")
+            tokens = np.concatenate(found) if found else np.empty(0, np.uint64)
+            columns = [pa.array(tokens.view(np.int64)), *(batch.column(c).take(at) for c in names[1:])]
+            return pa.RecordBatch.from_arrays(columns, names)
+
+        rows = map_batches(sets, rarest, "bucket long, rep long, component long")
+        rows = self.scratch.table(rows, "hot-shingles")
+        several = rows.groupBy("bucket").agg(
+            F.count("*").alias("size"), F.min("component").alias("c"), F.max("component").alias("d"), F.min("rep").alias("pivot")
+        )
+        return rows.join(several.where("c != d").select("bucket", "size", "pivot"), "bucket").select(*hot.columns)
+
     def _across(self, rest: DataFrame) -> DataFrame:
         """Pairs of one bucket and two components whose signatures agree, by blocks of a bucket."""
         blocks = F.ceil(F.col("size") / BLOCK)
