@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -15,12 +16,20 @@ MASK64 = (1 << 64) - 1
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, from the session; a temporary one only where none is named, as in tests."""
+    """The cluster's shared folder, from the session, with its scheme.
+
+    Where none is named a local master, as in tests, gets a temporary one; on a
+    cluster that would be a folder of the driver alone, so it is an error.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="platter-shared-")
         spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(named)
+    system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return system.makeQualified(where).toString().rstrip("/")
 
 
 class Scratch:

@@ -7,12 +7,21 @@ greatest doc_id of each. These keys, split into shards by their hash, are
 indexed by a minimal perfect hash: levels of bit vectors in which each key owns
 the first bit that no other key of its level hits; a bit's rank is the key's
 slot in compact arrays of fingerprints, counts and greatest doc_ids. Shards are
-files of a fixed number of keys in the shared folder. A batch of documents
-sorts its lines by shard, loads each shard that it needs once, within a bounded
-cache, and probes the arrays: no line is joined, nothing is broadcast.
+files of a fixed number of keys in the shared folder.
 
-The 64-bit fingerprint is independent of the slot's hash; a line that isn't
-indexed passes for one that is with probability 2**-64.
+Where all shards fit a worker's `CACHE_BYTES`, documents probe them in place,
+in one narrow pass. A larger index would be read again for every batch, so
+there the documents' distinct line hashes go to the shards: each task takes the
+hashes of its shards in order and loads a shard once; what comes back is the
+places of lines to drop, which the documents meet by their key. The few keys
+that hold a thousandth of all lines or more are decided before that shuffle, so
+no shard is hot. Both ways give the same rows.
+
+The key's 128 bits decide: the slot takes both halves and the stored
+fingerprint is the second half, so a line that isn't indexed passes for one
+that is with probability of about 2**-64.
+
+Very long texts: time and memory grow with the length, by some 200 bytes a line.
 
 Defined results: null or empty text is one empty line. Rows that repeat a
 doc_id are one document when documents are counted, and each is cleaned. A null
@@ -23,8 +32,8 @@ from __future__ import annotations
 
 import io
 import uuid
-from collections import OrderedDict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +48,8 @@ MIN_CHARS, MIN_DOCS = 40, 5
 SHARD_KEYS = 200_000
 #: Most bytes of loaded shards in a worker.
 CACHE_BYTES = 48 << 20
+#: Tasks that the lines of a shard are dealt to; a key of 1 / HOT_SHARE of all lines is decided before.
+SALTS, HOT_SHARE = 4, 1000
 _LEVELS, _GAMMA = 48, 2.0
 _NO_ID = -(1 << 63)
 
@@ -150,36 +161,44 @@ def _shard_name(folder: str, shard: int) -> str:
 
 
 def _write(name: str, index: LineIndex) -> None:
-    """A second attempt at a task writes the same bytes again."""
+    """Written whole and then renamed; where an earlier attempt at the task has finished, its bytes are the same."""
     fs, path = _filesystem(name)
     fs.create_dir(path.rpartition("/")[0], recursive=True)
+    if fs.get_file_info(path).type != pafs.FileType.NotFound:
+        return
     part = f"{path}.{uuid.uuid4().hex}"
     with fs.open_output_stream(part) as f:
         f.write(index.dump())
     fs.move(part, path)
 
 
-class _Shards:
-    """Shards that a worker has loaded; the least recently used go first."""
+def _load(folder: str, shard: int) -> LineIndex:
+    fs, path = _filesystem(_shard_name(folder, shard))
+    with fs.open_input_stream(path) as f:
+        return LineIndex.load(f.read())
+
+
+@dataclass
+class Index:
+    """Where the shards are, their number and bytes, and (h1, h2, n, last) of the keys."""
 
-    def __init__(self):
-        self.held: OrderedDict[str, LineIndex] = OrderedDict()
+    folder: str
+    shards: int
+    nbytes: int
+    frequent: DataFrame
 
-    def get(self, folder: str, shard: int) -> LineIndex:
-        name = _shard_name(folder, shard)
-        if name in self.held:
-            self.held.move_to_end(name)
-            return self.held[name]
-        fs, path = _filesystem(name)
-        with fs.open_input_stream(path) as f:
-            index = LineIndex.load(f.read())
-        while self.held and sum(x.nbytes for x in self.held.values()) + index.nbytes > CACHE_BYTES:
-            self.held.popitem(last=False)
-        self.held[name] = index
-        return index
 
+#: Shards of the index that this worker probed last; it holds them all, within CACHE_BYTES.
+_held: dict[str, dict[int, LineIndex]] = {}
 
-_shards = _Shards()
+
+def _held_shard(folder: str, shard: int) -> LineIndex:
+    if folder not in _held:
+        _held.clear()
+    shards = _held.setdefault(folder, {})
+    if shard not in shards:
+        shards[shard] = _load(folder, shard)
+    return shards[shard]
 
 
 def line_hashes(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -207,8 +226,8 @@ def _halves(hashes: list[int]) -> tuple[np.ndarray, np.ndarray]:
     return np.ascontiguousarray(data[:, 0]), np.ascontiguousarray(data[:, 1])
 
 
-def build_index(docs: DataFrame, scratch: Scratch, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> tuple[str, int]:
-    """Writes the shards; their folder and number."""
+def build_index(docs: DataFrame, scratch: Scratch, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> Index:
+    """Writes the shards."""
     frequent = scratch.table(
         line_hashes(docs, min_chars)
         .groupBy("h1", "h2")
@@ -228,64 +247,152 @@ def build_index(docs: DataFrame, scratch: Scratch, min_chars: int = MIN_CHARS, m
             h1, h2 = (rows.column(c).to_numpy().view(np.uint64) for c in ("h1", "h2"))
             index = LineIndex.build(h1, h2, rows.column("n").to_numpy(), rows.column("last").to_numpy())
             _write(_shard_name(folder, shard), index)
-            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "keys": pa.array([len(h1)], pa.int64())})
+            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "bytes": pa.array([index.nbytes], pa.int64())})
 
     of = F.pmod(F.shiftrightunsigned("h1", 20), F.lit(shards)).cast("int")
     built = (
         frequent.withColumn("shard", of)
         .repartitionById(shards, F.col("shard"))
-        .mapInArrow(build, "shard int, keys long")
+        .mapInArrow(build, "shard int, bytes long")
         .collect()  # a row a shard
     )
     empty = np.empty(0, np.uint64)
     for shard in set(range(shards)) - {r.shard for r in built}:  # a shard without keys
         _write(_shard_name(folder, shard), LineIndex.build(empty, empty, empty, empty.astype(np.int64)))
-    return folder, shards
+    return Index(folder, shards, sum(r.bytes for r in built), frequent)
 
 
-def _probe(folder: str, shards: int, hashes: list[int], ids: np.ndarray) -> np.ndarray:
-    """Whether each line, of the document in ids, is to go."""
-    h1, h2 = _halves(hashes)
-    of = (h1 >> np.uint64(20)) % np.uint64(shards)
+def _shard_of(h1: np.ndarray, shards: int) -> np.ndarray:
+    return ((h1 >> np.uint64(20)) % np.uint64(shards)).astype(np.int64)
+
+
+def _hits(index: LineIndex, h1: np.ndarray, h2: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Whether each key is indexed and kept in another document than that of ids."""
     out = np.zeros(len(h1), bool)
-    order = np.argsort(of, kind="stable")
-    cuts = np.flatnonzero(np.diff(of[order])) + 1
-    for rows in np.split(order, cuts):
-        if len(rows):
-            index = _shards.get(folder, int(of[rows[0]]))
-            slot = index.slots(h1[rows], h2[rows])
-            known = slot >= 0
-            out[rows[known]] = index.arrays["last"][slot[known]] != ids[rows[known]]
+    slot = index.slots(h1, h2)
+    known = np.flatnonzero(slot >= 0)
+    out[known] = index.arrays["last"][slot[known]] != ids[known]
     return out
 
 
-def _clean(batch: pa.RecordBatch, folder: str, shards: int, min_chars: int) -> tuple[list[str], list[int], list[int]]:
-    """Kept text, lines before and lines dropped of each row."""
-    ids = batch.column(_KEY).to_pylist()
-    split = [(t or "").split("\n") for t in batch.column("text").to_pylist()]
-    place: list[tuple[int, int]] = []
-    hashes: list[int] = []
-    for n, lines in enumerate(split):
-        for i, s in enumerate(lines):
-            if len(s) >= min_chars and len(s.strip(SPACES)) >= min_chars:
-                place.append((n, i))
-                hashes.append(key_hash(s))
-    gone = np.flatnonzero(_probe(folder, shards, hashes, np.array([ids[n] for n, _ in place], np.int64)))
+def _lines(batch: pa.RecordBatch, min_chars: int) -> tuple[list[int], list[int], list[int]]:
+    """Row, place in its text and hash of every line whose key has min_chars code points or more."""
+    rows, places, hashes = [], [], []
+    for n, text in enumerate(batch.column("text").to_pylist()):
+        if text and len(text) >= min_chars:
+            for i, s in enumerate(text.split("\n")):
+                if len(s) >= min_chars and len(s.strip(SPACES)) >= min_chars:
+                    rows.append(n)
+                    places.append(i)
+                    hashes.append(key_hash(s))
+    return rows, places, hashes
+
+
+def _probe(batch: pa.RecordBatch, index: Index, min_chars: int) -> dict[int, set[int]]:
+    """Places of the lines to drop, by row, from the held shards."""
+    rows, places, hashes = _lines(batch, min_chars)
+    h1, h2 = _halves(hashes)
+    ids = batch.column(_KEY).to_numpy()[np.array(rows, np.int64)] if rows else np.empty(0, np.int64)
+    of = _shard_of(h1, index.shards)
     drop: dict[int, set[int]] = {}
-    for j in gone.tolist():
-        drop.setdefault(place[j][0], set()).add(place[j][1])
-    kept = [
-        "\n".join(lines) if n not in drop else "\n".join([s for i, s in enumerate(lines) if i not in drop[n]])
-        for n, lines in enumerate(split)
-    ]
-    return kept, [len(x) for x in split], [len(drop.get(n, ())) for n in range(len(split))]
+    for shard in np.unique(of).tolist():
+        own = np.flatnonzero(of == shard)
+        for j in own[_hits(_held_shard(index.folder, shard), h1[own], h2[own], ids[own])].tolist():
+            drop.setdefault(rows[j], set()).add(places[j])
+    return drop
+
+
+def probe_sorted(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
+    """The rows of (shard, h1, h2, k, text_hash, places), ascending by shard, that are to go; a shard is loaded once. Shard -1 is decided."""
+    shard, index = -1, None
+    for batch in batches:
+        of = batch.column("shard").to_numpy()
+        h1, h2 = (batch.column(c).to_numpy().view(np.uint64) for c in ("h1", "h2"))
+        ids, gone = batch.column("k").to_numpy(), of == -1
+        for s in np.unique(of[of >= 0]).tolist():
+            if s != shard:
+                shard, index = s, _load(folder, s)
+            own = np.flatnonzero(of == s)
+            gone[own] = _hits(index, h1[own], h2[own], ids[own])
+        yield batch.select(["k", "text_hash", "places"]).filter(pa.array(gone))
+
+
+def _routed(docs: DataFrame, index: Index, scratch: Scratch, min_chars: int) -> DataFrame:
+    """(key, text_hash, drop): the places of lines to drop, of every text that has some; docs as of _keyed."""
+    total = index.frequent.agg(F.sum("n")).first()[0] or 0
+    hot = {  # HOT_SHARE keys at most
+        (r.h1, r.h2): r.last for r in index.frequent.where(F.col("n") >= max(1, total / HOT_SHARE)).select("h1", "h2", "last").collect()
+    }
+    folder, shards = index.folder, index.shards
 
+    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows, places, hashes = _lines(batch, min_chars)
+        by: dict[tuple[int, int], list[int]] = {}
+        for n, i, h in zip(rows, places, hashes):
+            by.setdefault((n, h), []).append(i)
+        h1, h2 = _halves([h for _, h in by])
+        of = _shard_of(h1, shards)
+        row = np.array([n for n, _ in by], np.int64)
+        ids = batch.column(_KEY).to_numpy()[row] if len(row) else np.empty(0, np.int64)
+        signed = list(zip(h1.view(np.int64).tolist(), h2.view(np.int64).tolist()))
+        keep, where = [], list(by.values())
+        for j, (key, k) in enumerate(zip(signed, ids.tolist())):
+            last = hot.get(key)
+            if last != k:
+                keep.append(j)
+            if last is not None:
+                of[j] = -1
+        at = pa.array(row[keep])
+        return pa.RecordBatch.from_pydict(
+            {
+                "shard": of[keep],
+                "h1": h1.view(np.int64)[keep],
+                "h2": h2.view(np.int64)[keep],
+                "k": batch.column(_KEY).take(at),
+                "text_hash": batch.column(_HASH).take(at),
+                "places": pa.array([where[j] for j in keep], pa.list_(pa.int32())),
+            }
+        )
 
-_KEY = "__line_dedup_key"  # beside the columns of documents
+    lines = map_batches(docs.select(_KEY, _HASH, "text"), one, "shard long, h1 long, h2 long, k long, text_hash long, places array<int>")
+    salted = lines.withColumn("salt", F.when(F.col("shard") < 0, F.col("text_hash")).otherwise(F.pmod("text_hash", F.lit(SALTS))))
+    gone = (
+        salted.repartition("shard", "salt")
+        .sortWithinPartitions("shard")
+        .drop("salt")
+        .mapInArrow(lambda batches: probe_sorted(batches, folder), "k long, text_hash long, places array<int>")
+    )
+    by_text = gone.groupBy("k", "text_hash").agg(F.flatten(F.collect_list("places")).alias(_DROP))
+    return scratch.table(by_text.select(F.col("k").alias(_KEY), F.col("text_hash").alias(_HASH), _DROP), "hits")
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn(_KEY, F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)))
+def _marked(docs: DataFrame, min_chars: int, min_docs: int) -> tuple[DataFrame, Index | None]:
+    """docs with the key and, where lines were routed to the shards, the places to drop; the index to probe in place otherwise."""
+    scratch = Scratch(docs.sparkSession, "line-dedup")
+    index = build_index(docs, scratch, min_chars, min_docs)
+    docs = docs.withColumn(_KEY, F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)))
+    if index.nbytes <= CACHE_BYTES:
+        return docs, Index(index.folder, index.shards, index.nbytes, None)
+    docs = docs.withColumn(_HASH, F.xxhash64("text"))
+    return docs.join(_routed(docs, index, scratch, min_chars), [_KEY, _HASH], "left").drop(_HASH), None
+
+
+def _clean(batch: pa.RecordBatch, index: Index | None, min_chars: int) -> tuple[list[str], list[int], list[int]]:
+    """Kept text, lines before and lines dropped of each row."""
+    if index is None:
+        drop = {n: set(places) for n, places in enumerate(batch.column(_DROP).to_pylist()) if places}
+    else:
+        drop = _probe(batch, index, min_chars)
+    kept, before = [], []
+    for n, text in enumerate(batch.column("text").to_pylist()):
+        lines = (text or "").split("\n")
+        before.append(len(lines))
+        kept.append("\n".join([s for i, s in enumerate(lines) if i not in drop[n]]) if n in drop else text or "")
+    return kept, before, [len(drop.get(n, ())) for n in range(len(kept))]
+
+
+#: Beside the columns of documents.
+_KEY, _HASH, _DROP = "__line_dedup_key", "__line_dedup_hash", "__line_dedup_drop"
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -293,31 +400,29 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
 
     A text that loses nothing stays as it is, null too.
     """
-    scratch = Scratch(docs.sparkSession, "line-dedup")
-    folder, shards = build_index(docs, scratch, min_chars, min_docs)
     if "n_chars" in docs.columns:
         docs = docs.withColumn("n_chars", F.col("n_chars").cast("long"))
+    marked, index = _marked(docs, min_chars, min_docs)
+    names, schema = docs.columns, docs.schema
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        kept, _, dropped = _clean(batch, folder, shards, min_chars)
-        columns = dict(zip(batch.schema.names, batch.columns))
-        del columns[_KEY]
+        kept, _, dropped = _clean(batch, index, min_chars)
+        columns = {c: batch.column(c) for c in names}
         texts = [k if n else t for k, n, t in zip(kept, dropped, columns["text"].to_pylist())]
         columns["text"] = pa.array(texts, pa.string())
         if "n_chars" in columns:
             columns["n_chars"] = pa.array([None if t is None else len(t) for t in texts], pa.int64())
         return pa.RecordBatch.from_pydict(columns)
 
-    return map_batches(_keyed(docs), one, docs.schema)
+    return map_batches(marked, one, schema)
 
 
 def line_dedup_digest(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """doc_id, n_lines, n_dropped and the kept text's SHA-256."""
-    scratch = Scratch(docs.sparkSession, "line-dedup")
-    folder, shards = build_index(docs, scratch, min_chars, min_docs)
+    marked, index = _marked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), min_chars, min_docs)
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        kept, lines, dropped = _clean(batch, folder, shards, min_chars)
+        kept, lines, dropped = _clean(batch, index, min_chars)
         return pa.RecordBatch.from_pydict(
             {
                 "doc_id": batch.column("doc_id"),
@@ -327,8 +432,4 @@ def line_dedup_digest(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int
             }
         )
 
-    return map_batches(
-        _keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")),
-        one,
-        "doc_id long, n_lines long, n_dropped long, kept_sha256 string",
-    )
+    return map_batches(marked, one, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
