@@ -349,6 +349,32 @@ def test_minhash_chains_and_large_buckets(spark, monkeypatch):
     check_near(spark, rows)
 
 
+def test_minhash_hot_bucket(spark, monkeypatch):
+    """Texts of one template at similarity 0.7, which share buckets, with links between some."""
+    monkeypatch.setattr(minhash_dedup, "HOT", 64)
+    template = prose(400, 90).split()
+    rows = []
+    for i in range(300):
+        words = list(template)
+        words[150:220] = prose(70, 10_000 + i).split()
+        rows.append((i, " ".join(words)))
+    for i in range(0, 60, 7):
+        rows.append((1000 + i, variant(rows[i][1], 3, i)))
+    check_near(spark, rows)
+
+
+def test_minhash_rarest_shingles_find_every_link():
+    r = np.random.default_rng(20)
+    for percent in (80, 85, 100):
+        for _ in range(200):
+            n = int(r.integers(1, 60))
+            a = np.unique(r.integers(0, 1 << 20, n, dtype=np.uint64))
+            b = np.unique(np.concatenate([a[r.random(len(a)) < 0.93], r.integers(0, 1 << 20, int(r.integers(0, 5)), dtype=np.uint64)]))
+            if len(b) and minhash_dedup.similar_sets(a, b, percent):
+                heads = [set(sorted(x.tolist(), key=lambda v: v * 2_654_435_761 % (1 << 20))[: len(x) + (-len(x) * percent) // 100 + 1]) for x in (a, b)]
+                assert heads[0] & heads[1]
+
+
 # -- 6 and 8
 
 
@@ -476,6 +502,60 @@ def test_perfect_hash(spark, monkeypatch):
     assert table(line_dedup.line_dedup_digest(df)) == oracle(queries.ORACLE["op7_line_dedup"], documents=df)
 
 
+def test_lines_of_a_large_index(spark, docs, empty, monkeypatch):
+    """An index beyond the cache: lines go to the shards, each of which a task loads once."""
+    narrow = {r.doc_id: r for r in line_dedup.dedup_lines(docs).collect()}
+    for share in (1, 1000):  # without hot keys and with all keys hot
+        monkeypatch.setattr(line_dedup, "CACHE_BYTES", 0)
+        monkeypatch.setattr(line_dedup, "SHARD_KEYS", 3)
+        monkeypatch.setattr(line_dedup, "HOT_SHARE", share)
+        lines = [f"{i} " + "shared line of more than forty characters" for i in range(40)]
+        rows = [(d, "\n".join([*lines[: 40 - d], lines[0], f"own {d}"])) for d in range(9)] + [(3, lines[1]), (3, lines[1]), (7, None), (8, "")]
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        got = Counter((r.doc_id, r.n_lines, r.n_dropped) for r in line_dedup.line_dedup_digest(df).collect())
+        monkeypatch.undo()
+        assert got == Counter((r.doc_id, r.n_lines, r.n_dropped) for r in line_dedup.line_dedup_digest(df).collect())
+        monkeypatch.setattr(line_dedup, "CACHE_BYTES", 0)
+        known = docs.where("doc_id is not null")
+        assert table(line_dedup.line_dedup_digest(known)) == oracle(queries.ORACLE["op7_line_dedup"], documents=known.select("doc_id", "text"))
+        wide = line_dedup.dedup_lines(docs)
+        assert wide.columns == docs.columns and {r.doc_id: r for r in wide.collect()} == narrow
+        assert line_dedup.line_dedup_digest(empty).count() == 0
+        monkeypatch.undo()
+
+
+def test_shards_are_loaded_once(spark, monkeypatch, tmp_path):
+    import pyarrow as pa
+
+    r = np.random.default_rng(18)
+    h1, h2 = (r.integers(0, 1 << 63, 4000, dtype=np.uint64) for _ in range(2))
+    of = line_dedup._shard_of(h1, 40)
+    for shard in range(40):
+        own = of == shard
+        index = line_dedup.LineIndex.build(h1[own], h2[own], np.full(own.sum(), 5), np.full(own.sum(), 7))
+        for _ in range(2):  # a second attempt at the task
+            line_dedup._write(line_dedup._shard_name(str(tmp_path), shard), index)
+    loads, load = [], line_dedup._load
+    monkeypatch.setattr(line_dedup, "_load", lambda folder, shard: loads.append(shard) or load(folder, shard))
+    order = np.argsort(of, kind="stable")
+    half = np.arange(4000) % 2
+    whole = pa.record_batch({"shard": of[order], "h1": h1[order].view(np.int64), "h2": h2[order].view(np.int64),
+                             "k": np.where(half, 7, 8)[order], "text_hash": order, "places": pa.array([[0]] * 4000, pa.list_(pa.int32()))})
+    out = list(line_dedup.probe_sorted(iter([whole.slice(i, 300) for i in range(0, 4000, 300)]), str(tmp_path)))
+    assert sorted(x for b in out for x in b.column("text_hash").to_pylist()) == [i for i in range(4000) if i % 2 == 0]
+    assert loads == list(range(40))
+
+
+def test_no_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from platter.llm import _common
+
+    context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    with pytest.raises(RuntimeError):
+        _common.shared_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=context))
+
+
 # -- 9
 
 
@@ -493,15 +573,53 @@ PAGES = [
 ]
 
 
+def link(i, url, *tags):
+    return i, url, "<html><head>" + "\n".join(tags) + "</head></html>"
+
+
+LINKED = [  # (page, verdict)
+    (link(20, "https://off.invalid/1", '<link rel="canonical" href="https://x.example.com/en/1">'), "block"),  # a target without a page
+    (link(21, "https://off.invalid/2", '<link rel="canonical" href="https://x.example.com/en/7">'), "allow"),
+    (link(22, "https://case.invalid/", '<LINK REL="nofollow cAnonical" HREF = "https://o.org/es/">'), "block"),
+    (link(23, "https://amp.invalid/a", '<link rel=canonical href="/b?x=1&amp;y=2">'), "block"),
+    (link(24, "https://amp.invalid/b?x=1&y=2", "<meta http-equiv='ReFresh' content='5; url=https://o.org/es/q'>"), "block"),
+    (link(25, "https://many.invalid/", '<link rel=canonical href="/one">', '<link rel="canonical" href="//o.org/es/">'), "block"),
+    (link(26, "https://many.invalid/2", '<meta http-equiv=refresh content="0;url=/3">', "<meta http-equiv=refresh content=\"0; URL='https://o.org/es/'\">"), "block"),
+    (link(27, "https://many.invalid/3"), "block"),
+    (link(28, "https://dots.invalid/a/b/c", '<link rel=canonical href="../../d/./e">'), "block"),
+    (link(29, "https://dots.invalid/d/e", '<link rel=canonical href="https://n.org/x/../es/z">'), "block"),
+    (link(30, "https://dots.invalid/q", '<link rel=canonical href="?z=1">'), "block"),
+    (link(31, "https://dots.invalid/q?z=1", '<link rel=canonical href="/d/e">'), "block"),
+    (link(32, "https://mail.invalid/", '<link rel=canonical href="mailto:a@o.org/es/">', '<link rel=canonical href="#x">', "<link rel=canonical>"), "allow"),
+    (link(33, "https://not.invalid/", '<link rel="alternate" href="https://o.org/es/">', '<link data-rel="canonical" href="https://o.org/es/">'), "allow"),
+    (link(34, "https://go.invalid/?u=https://o.org/es/", '<link rel=canonical href="/?u=https://o.org/es/">'), "allow"),
+    (link(35, "https://w.example.com/en/7", '<link rel="canonical" href="https://o.org/es/">'), "allow"),  # explicit
+    (link(36, "https://chain.invalid/0", '<link rel="canonical" href="https://chain.invalid/1">'), "block"),
+    *((link(37 + i, f"https://chain.invalid/{i + 1}", f'<link rel="canonical" href="https://chain.invalid/{i + 2}">'), "block") for i in range(12)),
+    (link(60, "https://chain.invalid/13#f", '<link rel="canonical" href="http://com/en/">'), "block"),
+    (link(61, "https://enc.invalid/", '<link rel="canonical" href="https&#58;&#x2F;&#47;o.org&#x2f;es&#47;">'), "block"),
+]
+
+
 def test_urls(spark):
-    df = spark.createDataFrame(PAGES, "page_id long, url string, html string")
+    pages = [*PAGES, *(p for p, _ in LINKED)]
+    df = spark.createDataFrame([(*p, "clash", i) for i, p in enumerate(pages)], "page_id long, url string, html string, host string, id long")
     out = url_filter.judge_urls(df)
     by = {r.page_id: r for r in out.collect()}
     verdicts = {i: by[i].verdict for i in by}
-    assert verdicts == {1: "block", 2: "allow", 3: "allow", 4: "block", 5: "block", 6: "block", 7: "block", 8: "allow", 9: "allow", 10: "allow", 11: "allow", 12: "allow", 13: "block", 14: "allow", 15: "block"}
+    expected = {1: "block", 2: "allow", 3: "allow", 4: "block", 5: "block", 6: "block", 7: "block", 8: "allow", 9: "allow", 10: "allow", 11: "allow", 12: "allow", 13: "block", 14: "allow", 15: "block"}
+    assert verdicts == expected | {p[0]: v for p, v in LINKED}
     assert (by[3].host, by[12].host, by[12].path, by[10].host, by[2].rule) == ("example.net", "host", "", "", "example.com/en/7")
     assert table(out.drop("alias_component")) == oracle(queries.ORACLE["op9_url_equivalence"], pages=df)
     assert url_filter.judge_urls(df.where("false")).count() == 0
+    no_edges = df.where("page_id in (1, 4, 10, 11)")
+    assert [r.verdict for r in url_filter.judge_urls(no_edges).orderBy("page_id").collect()] == ["block", "block", "allow", "allow"]
+
+
+def test_urls_of_long_pages(spark):
+    html = "<link " * 200_000 + "<meta http-equiv=refresh content='" + "u" * 500_000 + "<link rel='canonical' href='https://o.org/es/'>"
+    df = spark.createDataFrame([(1, "https://a.invalid/" + "x/" * 50_000, html), (2, "https://b.invalid/" + "../" * 2000, html)], "page_id long, url string, html string")
+    assert [r.verdict for r in url_filter.judge_urls(df).collect()] == ["block", "block"]
 
 
 # -- 10
