@@ -16,9 +16,15 @@ below `SIGNIFICANT`. A document's features are its best segment's -log E and
 the sum of its significant segments'; a logistic regression, fitted to labelled
 documents that the token model hasn't seen, gives the score.
 
-Only text enters a score. Counting, scanning and calibration use whole texts.
-The sample's bound `SAMPLE` is per label; the documents whose hashes of doc_id
-are least are taken, so below the bound every labelled document counts.
+Only text enters a score. Counting, scanning and calibration use whole texts
+and run in tasks; the driver gets counts of tokens that two documents hold or more (a
+rarer one has its stem's evidence), a histogram of scores and a few numbers a
+sampled document. The sample's bound `SAMPLE` is per label; the documents whose
+hashes of doc_id are least are taken, so below the bound every labelled document
+counts. Where the bound drops more of one label, the regression's constant is
+put right by the labels' shares among all usable rows.
+
+Very long texts: time grows with the length, memory by some 100 bytes a token.
 
 Defined results: null and empty texts have no segment and take the score of
 that. Where one of the labels is missing, every score is the share of toxic
@@ -36,9 +42,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from platter.llm._common import map_batches
+from pyspark.sql.window import Window
+
+from platter.llm._common import Scratch, map_batches
 
 SAMPLE = 8_000
+#: Scores remembered by a process, and the most letters of their tokens; longer tokens are counted by so many.
+MEMO_TOKENS, TOKEN_CHARS = 200_000, 64
+#: A token or stem is known to the model from so many sampled documents on.
+LEAST_DOCS = 2
+#: Of one document of so many only the features are learnt.
+CHECKED = 4
 THRESHOLD = 0.3
 STEMS = (3, 4, 5, 6)
 PRIOR = 8.0
@@ -85,11 +99,14 @@ class ToxicityModel:
 
     def token_scores(self, words: list[str]) -> list[float]:
         memo = self._memo
-        if len(memo) > 200_000:
+        if len(memo) > MEMO_TOKENS:
             memo.clear()
+        long: dict[str, float] = {}
         for w in set(words):
             if w not in memo:
-                memo[w] = self.score_of(w)
+                (memo if len(w) <= TOKEN_CHARS else long)[w] = self.score_of(w[:TOKEN_CHARS])
+        if long:
+            memo = memo | long
         last: dict[str, int] = {}
         out = []
         for at, w in enumerate(words):
@@ -152,14 +169,10 @@ def segments(scores: list[float]) -> list[tuple[int, int, float]]:
     return [(a, b, right - left) for a, b, left, right, _ in stack]
 
 
-def _log_odds(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int) -> tuple[dict[str, float], float]:
-    """Scores of tokens and stems; documents that hold them are counted, which repeats within one can't inflate."""
+def _log_odds(counts: dict[str, tuple[int, int]], n_toxic: int, n_clean: int) -> tuple[dict[str, float], float]:
+    """Scores of tokens and stems, from the toxic and clean documents that hold them; repeats within one don't count."""
     base = n_toxic / (n_toxic + n_clean)
     base_odds = np.log(base / (1 - base))
-    counts: dict[str, list[int]] = {}
-    for side, of in ((0, toxic), (1, clean)):
-        for w, c in of.items():
-            counts.setdefault(w, [0, 0])[side] += c
     rates: dict[str, float] = {}
 
     def rate(w: str, stem: str | None) -> float:
@@ -220,66 +233,103 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def fit(docs: list[tuple[str | None, int]]) -> ToxicityModel:
-    """Model of labelled texts in a fixed order; of every four documents one calibrates."""
-    share = float(np.mean([y for _, y in docs])) if docs else 0.0
-    learn = [d for i, d in enumerate(docs) if i % 4]
-    check = [d for i, d in enumerate(docs) if not i % 4]
-    if not all({y for _, y in part} == {0, 1} for part in (learn, check)):
-        return ToxicityModel({}, -DRIFT, 1.0, 1.0, (0.0, 0.0, 0.0), share)
-    held: tuple[dict[str, int], dict[str, int]] = ({}, {})
-    uses: dict[str, int] = {}
-    for text, y in learn:
-        words = tokens(text)
-        for w in _with_stems(set(words)):
-            held[y][w] = held[y].get(w, 0) + 1
-        if not y:
-            for w in words:
-                uses[w] = uses.get(w, 0) + 1
-    n_toxic = sum(y for _, y in learn)
-    scores, unknown = _log_odds(held[1], held[0], n_toxic, len(learn) - n_toxic)
-    model = ToxicityModel(scores, unknown, 1.0, 1.0, (0.0, 0.0, 0.0))
-    names = list(uses)
-    model.lam = _fit_lambda(np.array([model.score_of(w) for w in names] or [-1.0]), np.array([uses[w] for w in names] or [1]))
-    # ln K: clean documents' mean of lambda S - ln n, less Euler's constant
-    greatest = []
-    for text, y in check:
-        if not y and (words := tokens(text)):
-            s = max((x[2] for x in segments(model.token_scores(words))), default=0.0)
-            greatest.append(model.lam * s - np.log(len(words)))
-    if greatest:
-        model.k = float(np.exp(np.mean(greatest) - _EULER))
-    found = np.array([model.features(t)[:2] for t, _ in check])
-    w = _logistic(np.log1p(found), np.array([y for _, y in check], float))
-    # A score never falls as a segment's significance grows.
-    model.weights = (float(w[0]), max(0.0, float(w[1])), max(0.0, float(w[2])))
-    return model
-
-
-def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(h, doc_id, text, toxic): texts and labels of training rows: those whose crc32(doc_id) mod 4 isn't 2, at most `sample` of each label."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[DataFrame, dict[int, int]]:
+    """(doc_id, text, toxic) of training rows, those whose crc32(doc_id) mod 4 isn't 2, at most `sample` of each label; all usable rows by label."""
     usable = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
         .where("doc_id is not null and toxic in (0, 1) and crc32(cast(doc_id as string)) % 4 != 2")
         .groupBy("doc_id")
         .agg(F.max("toxic").alias("toxic"))
     )
+    many = {r.toxic: r["count"] for r in usable.groupBy("toxic").count().collect()}
     taken = None
     for y in (0, 1):  # a top-k each: heaps in the tasks, `sample` ids to the driver
         part = usable.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
         taken = part if taken is None else taken.unionByName(part)
     taken = F.broadcast(taken)  # 2 * sample ids at most
-    return (
+    rows = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         .join(taken, "doc_id")
-        .groupBy(F.xxhash64("doc_id").alias("h"), "doc_id")  # a doc_id that rows repeat is one document
+        .groupBy("doc_id")  # a doc_id that rows repeat is one document
         .agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
     )
+    return rows, many
+
+
+def _count(rows: DataFrame) -> tuple[dict[str, tuple[int, int]], dict[str, int]]:
+    """Toxic and clean documents of each token and stem, of LEAST_DOCS or more, and the tokens' uses in clean ones."""
+
+    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+        held: dict[str, list[int]] = {}
+        for text, y in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
+            uses: dict[str, int] = {}
+            for w in tokens(text):
+                w = w[:TOKEN_CHARS]
+                uses[w] = uses.get(w, 0) + 1
+            for w in _with_stems(set(uses)):
+                now = held.setdefault(w, [0, 0, 0])
+                now[1 - y] += 1
+                if not y:
+                    now[2] += uses.get(w, 0)
+        columns = [pa.array(list(held), pa.string()), *(pa.array([v[i] for v in held.values()], pa.int64()) for i in range(3))]
+        return pa.RecordBatch.from_arrays(columns, ("w", "t", "c", "uses"))
+
+    counted = map_batches(rows, one, "w string, t long, c long, uses long").groupBy("w").agg(F.sum("t").alias("t"), F.sum("c").alias("c"), F.sum("uses").alias("uses"))
+    kept = counted.where(F.col("t") + F.col("c") >= LEAST_DOCS).toArrow()
+    names, t, c, uses = (kept.column(i).to_pylist() for i in range(4))
+    return dict(zip(names, zip(t, c))), dict(zip(names, uses))
+
+
+def _features(rows: DataFrame, model: ToxicityModel, of) -> list:
+    """What `of` makes of each row's text, with its label: numbers of the sampled documents, in no order that matters."""
+    sent = rows.sparkSession.sparkContext.broadcast(model)
+
+    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [of(sent.value, t) for t in batch.column("text").to_pylist()]
+        columns = [pa.array([f[i] for f in found], pa.float64()) for i in range(2)]
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), *columns], ("doc_id", "toxic", "x", "y"))
+
+    made = map_batches(rows, one, "doc_id long, toxic int, x double, y double").toArrow().sort_by("doc_id")
+    return list(zip(*(made.column(c).to_pylist() for c in ("toxic", "x", "y"))))
+
+
+def _greatest(model: ToxicityModel, text: str | None) -> tuple[float, float]:
+    """Score of the best segment and number of tokens."""
+    words = tokens(text)
+    return max((x[2] for x in segments(model.token_scores(words))), default=0.0), float(len(words))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityModel:
-    rows = sorted(labelled_sample(docs, labels, sample).toLocalIterator(), key=lambda r: (r.h, r.doc_id))
-    return fit([(r.text, r.toxic) for r in rows])
+    """Model of the labelled sample; one document of CHECKED, in the order of hashed ids within its label, calibrates."""
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    rows, many = labelled_sample(docs, labels, sample)
+    order = Window.partitionBy("toxic").orderBy("h", "doc_id")
+    ranked = rows.select("doc_id", "toxic", F.xxhash64("doc_id").alias("h"))  # ids alone: 2 * sample rows at most
+    ranked = ranked.select("doc_id", (F.row_number().over(order) % CHECKED == 1).alias("check"))
+    rows = scratch.table(rows, "texts")
+    rows = scratch.table(rows.join(F.broadcast(ranked), "doc_id").repartition("doc_id"), "sample")
+    had = {(r.check, r.toxic): r["count"] for r in rows.groupBy("check", "toxic").count().collect()}
+    total = {y: had.get((True, y), 0) + had.get((False, y), 0) for y in (0, 1)}
+    if len(had) < 4:
+        share = total[1] / (total[0] + total[1]) if total[0] + total[1] else 0.0
+        return ToxicityModel({}, -DRIFT, 1.0, 1.0, (0.0, 0.0, 0.0), share)
+    learn, check = rows.where("not check"), rows.where("check")
+    counts, uses = _count(learn)
+    scores, unknown = _log_odds(counts, had[False, 1], had[False, 0])
+    model = ToxicityModel(scores, unknown, 1.0, 1.0, (0.0, 0.0, 0.0))
+    names = [w for w, n in uses.items() if n]
+    model.lam = _fit_lambda(np.array([model.score_of(w) for w in names] or [-1.0]), np.array([uses[w] for w in names] or [1]))
+    # ln K: clean documents' mean of lambda S - ln n, less Euler's constant
+    greatest = [model.lam * s - np.log(n) for y, s, n in _features(check, model, _greatest) if not y and n]
+    if greatest:
+        model.k = float(np.exp(np.mean(greatest) - _EULER))
+    found = np.array(_features(check, model, lambda m, t: m.features(t)[:2]))
+    w = _logistic(np.log1p(found[:, 1:]), found[:, 0])
+    # Of each label, how much of what there is was learnt from.
+    offset = np.log(many[1] / min(many[1], sample)) - np.log(many[0] / min(many[0], sample))
+    # A score never falls as a segment's significance grows.
+    model.weights = (float(w[0] + offset), max(0.0, float(w[1])), max(0.0, float(w[2])))
+    return model
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD) -> DataFrame:
