@@ -10,6 +10,8 @@ the vectors. A number as `probe` takes so many standard deviations of an
 isotropic difference instead, sqrt(2 - 2 least) / sqrt(dimension) each: fewer
 copies, but pairs are lost where differences aren't isotropic.
 
+At most `MOST_CELLS` cells are made, and no more than the sample fits well, so
+the work of a cell grows with the rows beyond that; README has figures.
 A cell's vectors are dealt to blocks of about `BLOCK`, and a task compares two
 blocks, so a hot cell is many tasks. A task multiplies tile by tile in double
 precision and returns, per vector, the weight of its links and one edge to its
@@ -36,8 +38,11 @@ from platter.llm.components import components
 LEAST = 0.9
 PROBE = None
 CELL_VECTORS, MOST_CELLS = 1500, 2048
-SAMPLE_ROWS, SAMPLE_FLOATS = 20_000, 4_000_000
+#: Rows and floats of the sample, and the least sampled rows of a cell.
+SAMPLE_ROWS, SAMPLE_FLOATS, CELL_SAMPLE = 20_000, 8_000_000, 8
 BLOCK = 2048
+#: Most entries of a matrix of vectors by cells.
+TILE = 1 << 20
 
 
 def unit_rows(x: np.ndarray) -> np.ndarray:
@@ -63,16 +68,20 @@ def fit_cells(x: np.ndarray, cells: int, rounds: int = 10, seed: int = 5) -> np.
 
 
 def cells_of(x: np.ndarray, centres: np.ndarray, least: float, probe: float | None) -> list[np.ndarray]:
-    """Home cell of each unit row, then the higher cells it is copied to."""
-    near = x @ centres.T
-    home = near.argmax(axis=1)
+    """Home cell of each unit row, then the higher cells it is copied to; a few matrices of TILE entries are held."""
     reach = np.sqrt(max(0.0, 1 - least * least)) if least > 0 else 1.0
     if probe is not None:
         reach = min(reach, probe * np.sqrt(max(0.0, 2 - 2 * least) / x.shape[1]))
-    apart = np.sqrt(np.maximum(0, 2 - 2 * centres @ centres.T))
-    margin = near[np.arange(len(x)), home][:, None] - near
-    copied = (margin <= reach * apart[home] + 1e-12) & (np.arange(len(centres)) > home[:, None])
-    return [np.concatenate([[h], np.flatnonzero(c)]) for h, c in zip(home, copied)]
+    out: list[np.ndarray] = []
+    step = max(1, TILE // len(centres))
+    for at in range(0, len(x), step):
+        near = x[at : at + step] @ centres.T
+        home = near.argmax(axis=1)
+        apart = np.sqrt(np.maximum(0, 2 - 2 * centres[home] @ centres.T))
+        margin = near[np.arange(len(near)), home][:, None] - near
+        copied = (margin <= reach * apart + 1e-12) & (np.arange(len(centres)) > home[:, None])
+        out += [np.concatenate([[h], np.flatnonzero(c)]) for h, c in zip(home, copied)]
+    return out
 
 
 def _vectors(batch: pa.RecordBatch) -> list[np.ndarray | None]:
@@ -170,7 +179,7 @@ def link_classes(reps: DataFrame, scratch: Scratch, least: float, probe: float |
     dim = next(iter(dims))
     rows = min(SAMPLE_ROWS, max(64, SAMPLE_FLOATS // dim))
     sample = reps.where(F.col("dim") == dim).orderBy(F.xxhash64("h1"), "h2").limit(rows).select("x", "wide").collect()
-    cells = int(min(MOST_CELLS, max(1, round(dims[dim] / CELL_VECTORS))))
+    cells = int(max(1, min(MOST_CELLS, round(dims[dim] / CELL_VECTORS), len(sample) // CELL_SAMPLE)))
     x = np.concatenate([unit_rows(np.frombuffer(r.x, np.float32 if r.wide == 4 else np.float64)[None]) for r in sample])
     centres = spark.sparkContext.broadcast(fit_cells(x, cells))  # MOST_CELLS rows at most
 
