@@ -324,9 +324,9 @@ class _Search:
                 part = at[i : i + (1 << 16)]
                 yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], ("at", "n"))
 
-        counted = sets.select("shingles").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+        counted = sets.select("shingles").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
         counters = np.zeros(1 << RARE_BITS, np.int64)  # the driver's bound: a row a counter
-        counters[counted["at"].to_numpy(np.int64)] = counted["n"].to_numpy(np.int64)
+        counters[counted.column("at").to_numpy()] = counted.column("n").to_numpy()
         common = self.classes.sparkSession.sparkContext.broadcast(counters)
 
         def rarest(batch: pa.RecordBatch) -> pa.RecordBatch:

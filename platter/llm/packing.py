@@ -11,7 +11,7 @@ hold it, it takes the one with the least weighted norm of what would remain
 The production capacities of a sequence are `TOKENS`, `DOCUMENTS` pieces and
 an attention cost: a piece costs its length squared and `TILE`, the least block
 that an attention kernel computes for it. All three can bind: many tiny pieces
-meet the document capacity, a tiny piece beside a nearly whole one the cost.
+meet the document capacity, those beside a nearly whole one the cost.
 
 Pieces are dealt evenly to shards of about `shard_pieces`, which are packed
 independently; a shard adds at most a few sequences to the whole.
