@@ -163,6 +163,44 @@ def test_toxicity(spark, docs, empty):
     assert kept.columns == docs.columns and kept.count() == len(DOCS)
 
 
+def brute_score(model, text):
+    """The score by its definition, with segments by theirs."""
+    words = re.findall(r"[^\W_]+", (text or "").lower())
+    scores, seen = [], {}
+    for at, w in enumerate(words):
+        known = [model.scores[x] for x in (w, *(w[:n] + "*" for n in (6, 5, 4, 3) if len(w) > n)) if x in model.scores]
+        s = known[0] if known else model.unknown
+        if s > 0 and w in seen and at - seen[w] < 100:
+            scores.append(model.unknown)
+        else:
+            scores.append(s)
+        if s > 0:
+            seen[w] = at
+    x = [model.lam * sum(scores[a:b]) - math.log(model.k * len(words)) for a, b in brute_segments(scores)]
+    best, total = max([0.0, *x]), sum(v for v in x if 1 - math.exp(-math.exp(-v)) < 1e-3)
+    w = model.weights
+    return 1 / (1 + math.exp(-(w[0] + w[1] * math.log1p(best) + w[2] * math.log1p(total))))
+
+
+def test_toxicity_scores_and_offset(spark):
+    r = random.Random(6)
+    rows = []
+    for i in range(1600):
+        words = prose(r.randint(3, 25), 3000 + i).split()
+        toxic = i % 8 == 0
+        for _ in range(r.randint(1, 3) if toxic else 0):
+            words.insert(r.randrange(len(words)), r.choice(["idiot", "idiots", "moron", "scum"]))
+        rows.append((i, " ".join(words), int(toxic)))
+    both = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(3)
+    model = toxicity.train(both, both)
+    out = {x.doc_id: x.score for x in toxicity.score_toxicity(both, model).collect()}
+    assert max(abs(out[i] - brute_score(model, t)) for i, t, _ in rows[::9]) < 1e-9
+    # a bound that drops most clean documents doesn't move the threshold
+    few = toxicity.train(both, both, sample=100)
+    held = [(few.probability(t)[0] >= 0.3, y) for i, t, y in rows if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert np.mean([p for p, _ in held]) < 0.2 and np.mean([p == y for p, y in held]) > 0.9
+
+
 def test_toxicity_without_labels(spark, docs):
     none = toxicity.train(docs, spark.createDataFrame([], "doc_id long, toxic int"))
     assert {r.score for r in toxicity.score_toxicity(docs, none).collect()} == {0.0}
@@ -267,6 +305,27 @@ def test_no_pair_is_lost_between_cells():
     assert all(found(embedding_dedup.PROBE)) and not all(found(3.5))
 
 
+@pytest.mark.parametrize("kind", ["isotropic", "rank 2", "rank 8", "power law"])
+def test_recall_of_cells(kind, monkeypatch):
+    """All pairs of brute force meet in a cell, in many tiles."""
+    monkeypatch.setattr(embedding_dedup, "TILE", 10_000)
+    r = np.random.default_rng(14)
+    if kind.startswith("rank"):
+        x = r.normal(size=(5000, int(kind[5:]))) @ r.normal(size=(int(kind[5:]), 64))
+    else:
+        x = r.normal(size=(5000, 64)) / (np.arange(1, 65) if kind == "power law" else 1)
+        x[2500:] = x[:2500] + r.normal(size=(2500, 64)) * np.abs(x[:2500]).mean(axis=0) * 0.35
+    x = embedding_dedup.unit_rows(x)
+    cells = embedding_dedup.cells_of(x, embedding_dedup.fit_cells(x[:2000], 40), 0.9, embedding_dedup.PROBE)
+    inside = np.zeros((len(x), 40), bool)
+    for i, c in enumerate(cells):
+        inside[i, c] = True
+    home = np.array([c[0] for c in cells])
+    link = np.triu(x @ x.T >= 0.9, 1)
+    i, j = np.nonzero(link)
+    assert len(i) > 100 and (inside[i, home[j]] | inside[j, home[i]]).all()
+
+
 def test_blocks_of_a_hot_cell(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "BLOCK", 40)
     r = np.random.default_rng(6)
