@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,25 +78,32 @@ def directory_prefixes(df: DataFrame, path: str, separator: str = ".", group: li
     return df.select(*group, F.inline(prefixes)).distinct()
 
 
-def walk_tree(nodes: DataFrame, key: str, parent: str, name: str, most_levels: int = 100) -> DataFrame:
-    """key, depth from 0 and path of every node under roots, whose parent is null; for trees of bounded depth.
+def walk_tree(nodes: DataFrame, key: str, parent: str, name: str) -> DataFrame:
+    """key, depth from 0 and path of every node under roots, whose parent is null, however deep.
 
-    A level is one join with the nodes; beyond 8 levels each is looked at before
-    the next is added. A cycle isn't reached from a root.
+    A level is one join with the nodes. It is cut off from its lineage by a
+    checkpoint, so no level is computed twice. A cycle isn't reached from a root.
     """
     level = nodes.where(F.col(parent).isNull()).select(F.col(key).alias("key"), F.lit(0).alias("depth"), F.col(name).alias("path"))
-    out, n = level, 0
-    while n < most_levels:
-        n += 1
-        level = (
-            nodes.select(F.col(key).alias("child"), F.col(parent).alias("key"), F.col(name).alias("leaf"))
-            .join(level, "key")
-            .select(F.col("child").alias("key"), F.lit(n).alias("depth"), F.concat("path", F.lit("."), "leaf").alias("path"))
+    children = nodes.select(F.col(key).alias("child"), F.col(parent).alias("key"), F.col(name).alias("leaf"))
+    levels = [checkpointed(level)]
+    while not levels[-1].isEmpty():
+        below = children.join(levels[-1], "key").select(
+            F.col("child").alias("key"), (F.col("depth") + 1).alias("depth"), F.concat("path", F.lit("."), "leaf").alias("path")
         )
-        if 8 <= n < most_levels and level.isEmpty():
-            break
-        out = out.unionByName(level)
-    return out
+        levels.append(checkpointed(below))
+    return functools.reduce(DataFrame.unionByName, levels)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """A checkpoint in the folder that the session names in spark.checkpoint.dir; where none is named, a local master gets one."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not (context.master == "local" or context.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="platter-checkpoints-"))
+    return df.checkpoint()
 
 
 def with_sidecars(files: DataFrame, sidecars: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:

@@ -9,14 +9,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from platter.functions import basic
 from platter.sources import discs
 from platter.sources.images import detect_format
 
 #: op is add, delete, rename, attributes, title, boot, compact or mkdir. flag is the lock;
-#: text is the new name, the access spec or the title; number the boot option or start sector.
+#: text is the new name, the access spec or the title, or `retokenize` for an add whose plain
+#: source becomes a program; number the boot option or start sector.
 COMMANDS = (
     "image_id string, seq long, side int, op string, path string, data binary, load_addr long, exec_addr long, flag boolean, "
     "text string, number int"
@@ -31,12 +33,29 @@ def _plain(value):
     return int(value) if isinstance(value, float) else value
 
 
+_NEED_PATH = frozenset(("add", "delete", "rename", "attributes", "mkdir"))
+
+
+def retokenized(data: bytes) -> bytes:
+    """Plain source text as a program; programs and other data as they are."""
+    if basic.is_program(data) or not basic.is_plain_text(data):
+        return data
+    return basic.tokenize(basic.source_lines(data))[0]
+
+
 def _apply(sides: list, c: dict) -> int | None:
     if not 0 <= (c["side"] or 0) < len(sides):
         raise discs.DiscError(f"no side {c['side']}")
     side, op, path = sides[c["side"] or 0], c["op"], c["path"]
+    if not path and op in _NEED_PATH:
+        raise discs.DiscError(f"{op} needs a path")
+    if not c["text"] and op == "rename":
+        raise discs.DiscError("rename needs a new name")
     if op == "add":
-        side.add(path, bytes(c["data"] or b""), c["load_addr"] or 0, c["exec_addr"] or 0, bool(c["flag"]), c["number"])
+        data = bytes(c["data"] or b"")
+        if c["text"] == "retokenize":
+            data = retokenized(data)
+        side.add(path, data, c["load_addr"] or 0, c["exec_addr"] or 0, bool(c["flag"]), c["number"])
     elif op == "delete":
         side.delete(path)
     elif op == "rename":
@@ -103,8 +122,14 @@ def apply_commands(images: DataFrame, commands: DataFrame) -> DataFrame:
 def new_images(commands: DataFrame, ext: str, *, boot_option: int = 0, title: str = "", tracks: int = 80) -> DataFrame:
     """image_id, ext, content and log of a new image for each image_id that commands name, with these applied.
 
-    One shuffle of the commands; blank discs are made where they are filled.
+    One shuffle of the commands; blank discs are made where they are filled. An
+    image that can't be written has null content and a `save` row in its log.
     """
+    return fill_images(_listed(commands), ext, boot_option=boot_option, title=title, tracks=tracks)
+
+
+def fill_images(listed: DataFrame, ext: str, *, boot_option: int = 0, title: str = "", tracks: int = 80) -> DataFrame:
+    """As new_images, of rows that hold all commands of an image (image_id, commands: an array of structs): no shuffle."""
     blank = discs.blank_image(ext, tracks, title, boot_option)
     double, kind = ext in (".dsd", ".adl"), "dfs" if ext in (".ssd", ".dsd") else "adfs"
 
@@ -116,10 +141,15 @@ def new_images(commands: DataFrame, ext: str, *, boot_option: int = 0, title: st
             for image_id, todo in zip(batch.image_id, batch.commands):
                 sides, log = discs.open_image(blank, kind, double), []
                 _run(sides, todo, log)
-                rows.append((image_id, ext, discs.image_bytes(sides, double), log))
+                try:
+                    content = discs.image_bytes(sides, double)
+                except discs.DiscError as e:
+                    content = None
+                    log.append({"seq": None, "op": "save", "path": None, "won": None, "error": str(e)})
+                rows.append((image_id, ext, content, log))
             yield pd.DataFrame(rows, columns=["image_id", "ext", "content", "log"])
 
-    return _listed(commands).mapInPandas(run, RESULT.replace("content binary, changed boolean", "ext string, content binary"))
+    return listed.select("image_id", "commands").mapInPandas(run, RESULT.replace("content binary, changed boolean", "ext string, content binary"))
 
 
 def commands(spark: SparkSession, rows: list[dict]) -> DataFrame:
@@ -138,26 +168,59 @@ def blank_images(specs: DataFrame) -> DataFrame:
     return specs.withColumn("content", made("ext", "tracks", "title", "boot_option"))
 
 
+def split_names(path: Column, stem: Column | None = None) -> Column:
+    """The two file names of a split image: `STEM-side0.ssd` and `STEM-side1.ssd`, the stem being the path without its extension."""
+    whole = F.regexp_replace(path, r"(?<=[^/])\.[^./]*$", "") if stem is None else stem
+    return F.array(*(F.concat(whole, F.lit(f"-side{n}.ssd")) for n in (0, 1)))
+
+
+def _told(images: DataFrame) -> DataFrame:
+    """With format and double_sided; images without ext are told by their bytes."""
+    return detect_format(images if "ext" in images.columns else images.withColumn("ext", F.lit(None).cast("string")))
+
+
 def split_surfaces(images: DataFrame, sequential: bool = False) -> DataFrame:
-    """Two one-sided images of each two-sided flat one: image_id, surface and content; others are left out."""
+    """image_id, surface, content and problem: two one-sided images of each two-sided flat one.
+
+    Others have one row, with the problem and a null surface: one-sided and
+    hierarchical discs, whose surfaces are no discs, and sizes of no disc.
+    """
     from platter.sources.images import TRACK, deinterleave
 
     size = F.length("content")
-    legal = images.where(size.isin(80 * TRACK, 160 * TRACK))
+    problem = (
+        F.when(F.col("format") == "adfs", "the surfaces of a hierarchical disc aren't discs")
+        .when(F.col("format").isNull() | ~size.isin(80 * TRACK, 160 * TRACK), "no two-sided disc has this size")
+        .when(~F.col("double_sided"), "the disc has one side")
+    )
     half = (size / 2).cast("int")
     if sequential:
         sides = F.array(F.substring("content", F.lit(1), half), F.substring("content", half + 1, half))
     else:
         sides = F.array(deinterleave(F.col("content"), 0), deinterleave(F.col("content"), 1))
-    return legal.select("image_id", F.posexplode(sides).alias("surface", "content"))
+    nothing = F.array(F.lit(None).cast("binary"))
+    told = _told(images).withColumn("problem", problem)
+    rows = told.select("image_id", "problem", F.posexplode(F.when(F.col("problem").isNull(), sides).otherwise(nothing)).alias("surface", "content"))
+    return rows.select("image_id", F.when(F.col("problem").isNull(), F.col("surface")).alias("surface"), "content", "problem")
 
 
 def merge_surfaces(first: DataFrame, second: DataFrame, key: str = "image_id", sequential: bool = False) -> DataFrame:
-    """A two-sided image of each pair of one-sided ones of equal legal size: key and content."""
+    """key, content and problem: a two-sided image of each pair of one-sided flat ones of equal legal size.
+
+    Other pairs have the problem and null content; rows without a partner too.
+    """
     from platter.sources.images import TRACK, interleave
 
-    a = first.select(key, F.col("content").alias("__a"))
-    b = second.select(key, F.col("content").alias("__b"))
-    pairs = a.join(b, key).where((F.length("__a") == F.length("__b")) & F.length("__a").isin(40 * TRACK, 80 * TRACK))
+    def side(df: DataFrame, name: str) -> DataFrame:
+        told = _told(df.withColumn("image_id", F.col(key).cast("string")) if "image_id" not in df.columns else df)
+        flat = (F.col("format") == "dfs") & ~F.col("double_sided") & F.length("content").isin(40 * TRACK, 80 * TRACK)
+        return told.select(key, F.col("content").alias(f"__{name}"), F.coalesce(flat, F.lit(False)).alias(f"__{name}_flat"))
+
+    pairs = side(first, "a").join(side(second, "b"), key, "full")
+    problem = (
+        F.when(F.col("__a").isNull() | F.col("__b").isNull(), "a side is missing")
+        .when(~(F.col("__a_flat") & F.col("__b_flat")), "a side isn't a one-sided flat disc")
+        .when(F.length("__a") != F.length("__b"), "the sides differ in size")
+    )
     whole = F.concat("__a", "__b") if sequential else interleave(F.col("__a"), F.col("__b"))
-    return pairs.select(key, whole.alias("content"))
+    return pairs.withColumn("problem", problem).select(key, F.when(F.col("problem").isNull(), whole).alias("content"), "problem")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from platter.functions import basic
+from platter.functions import bytes as B
 
 LINES = "array<struct<ord:int,line_number:int,text:string>>"
 
@@ -20,24 +21,33 @@ def keywords(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "dialect string, ord int, token int, name string, traits array<string>")
 
 
+def _starts_program(data: Column) -> Column:
+    """What every tokenized program starts with: a carriage return and the high byte of a line number or the end mark."""
+    return F.coalesce(F.substring(data, 1, 1) == F.lit(b"\r"), F.lit(False))
+
+
 def program_size(data: Column) -> Column:
-    """Bytes of the tokenized program that data start with; 0 without one."""
+    """Bytes of the tokenized program that data start with; 0 without one. Only data that may be one go to Python."""
 
     @F.pandas_udf("int")
     def size(s):
         return s.map(lambda x: basic.program_size(bytes(x)) if x is not None else 0).astype("int32")
 
-    return size(data)
+    return F.when(_starts_program(data), size(F.when(_starts_program(data), data))).otherwise(0)
 
 
 def classify(is_basic: Column, data: Column) -> Column:
-    """BASIC, BASIC+MC, BASIC?, TEXT or BINARY."""
+    """BASIC, BASIC+MC, BASIC?, TEXT or BINARY. Only data that may be a program go to Python, null where they don't."""
 
     @F.pandas_udf("string")
     def kind(gate, s):
-        return type(s)([basic.classify(bool(g), bytes(x or b"")) for g, x in zip(gate, s)], index=s.index)
+        return type(s)([None if x is None else basic.classify(bool(g), bytes(x)) for g, x in zip(gate, s)], index=s.index)
 
-    return kind(is_basic, data)
+    plain = F.when(B.is_plain_text(F.decode(F.coalesce(data, F.lit(b"")), "ISO-8859-1")), "TEXT").otherwise("BINARY")
+    return F.coalesce(
+        F.when(_starts_program(data), kind(is_basic, F.when(_starts_program(data), data))),
+        F.when(F.coalesce(is_basic, F.lit(False)), "BASIC?").otherwise(plain),
+    )
 
 
 def lines(files: DataFrame, pretty: bool = False, version: str = "II", data: str = "data") -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,15 +46,13 @@ def start_sector(extra: Column) -> Column:
 
 
 def checksums(data: Column) -> Column:
-    """Struct crc16 (XMODEM) and crc32 of files' bytes."""
-
-    @F.pandas_udf("crc16 int, crc32 long")
-    def sums(s):
-        import pandas as pd
+    """Struct crc16 (XMODEM) and crc32 of files' bytes; null counts as none."""
 
-        return pd.DataFrame([(inf.crc16(bytes(x or b"")), zlib.crc32(bytes(x or b""))) for x in s], columns=["crc16", "crc32"])
+    @F.pandas_udf("int")
+    def xmodem(s):
+        return type(s)([inf.crc16(bytes(x or b"")) for x in s], index=s.index, dtype="int32")
 
-    return sums(data)
+    return F.struct(xmodem(data).alias("crc16"), F.crc32(F.coalesce(data, F.lit(b""))).alias("crc32"))
 
 
 def mismatches(files: DataFrame, data: str = "data", extra: str = "extra") -> DataFrame:

@@ -21,11 +21,15 @@ LARGEST_ADF = 1280 * 256
 HUGO = b"Hugo"
 
 
+def name_glob(extensions: tuple[str, ...] = EXTENSIONS) -> str:
+    """A pattern of file names with one of the extensions, in any case."""
+    return "*{" + ",".join("".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in e) for e in extensions) + "}"
+
+
 def read_images(spark: SparkSession, path: str, extensions: tuple[str, ...] = EXTENSIONS) -> DataFrame:
     """image_id, path, ext, length and content of the image files below a path."""
-    glob = "*{" + ",".join([*extensions, *(e.upper() for e in extensions)]) + "}"
     files = (
-        spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
+        spark.read.format("binaryFile").option("pathGlobFilter", name_glob(extensions)).option("recursiveFileLookup", "true").load(path)
     )
     return files.select(
         F.sha2(F.col("path").cast("binary"), 256).alias("image_id"),

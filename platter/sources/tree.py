@@ -125,11 +125,12 @@ def paired(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return data.where(ready), lost
 
 
-def build_images(files: DataFrame, images_: DataFrame, image_of: Column, side_of: Column | None = None) -> DataFrame:
+def build_images(files: DataFrame, images_: DataFrame, image_of: Column, side_of: Column | None = None, force: bool = False) -> DataFrame:
     """New images from a tree: image_id, content, log.
 
-    images_: image_id, ext, tracks, title, boot_option (nulls leave them to the
-    tree's `$.inf`). image_of, side_of: a file's image and side from its path.
+    images_: image_id, ext, tracks, title, boot_option. Where a side's tree has a
+    `$.inf`, that decides title and boot option and the log tells where the
+    table says otherwise; with force the table's values win. image_of, side_of: a file's image and side from its path.
     Placed files come first, by ascending end and descending start, so that the
     last writer of a shared sector is the file that reaches furthest; the others
     follow by path. Locks and access bits of the sidecars are kept.
@@ -149,7 +150,7 @@ def build_images(files: DataFrame, images_: DataFrame, image_of: Column, side_of
             out = []
             for r in batch.itertuples(index=False):
                 log: list[str] = []
-                content = _assemble(r, log)
+                content = _assemble(r, log, force)
                 out.append((r.image_id, content, log))
             yield pd.DataFrame(out, columns=["image_id", "content", "log"])
 
@@ -161,23 +162,25 @@ def _value(x):
     return None if x is None or x != x else x
 
 
-def _assemble(r, log: list[str]) -> bytes:
+def _assemble(r, log: list[str], force: bool) -> bytes:
     double = r.ext in (".dsd", ".adl")
     tracks, title, boot = (_value(x) for x in (r.tracks, r.title, r.boot_option))
     blank = discs.blank_image(r.ext, int(tracks or 80))
     sides = discs.open_image(blank, "dfs" if r.ext in (".ssd", ".dsd") else "adfs", double)
+    described: dict[int, dict] = {}
     for head in r.heads if r.heads is not None else []:
-        p = inf.parse(head["line"])
-        extra = p["extra"] or {}
-        side = sides[min(int(head["side"]), len(sides) - 1)]
-        _try(log, side.set_title, extra.get("TITLE", ""))
-        if extra.get("OPT", "").isdigit():
-            _try(log, side.set_boot, int(extra["OPT"]))
-    for side in sides:
-        if title is not None:
-            _try(log, side.set_title, title)
-        if boot is not None:
-            _try(log, side.set_boot, int(boot))
+        described[min(int(head["side"]), len(sides) - 1)] = inf.parse(head["line"])["extra"] or {}
+    for n, side in enumerate(sides):
+        for key, asked, put in (("TITLE", title, side.set_title), ("OPT", None if boot is None else int(boot), side.set_boot)):
+            told = described[n].get(key, "" if key == "TITLE" else None) if n in described else None
+            if key == "OPT" and told is not None:
+                told = int(told) if told.isdecimal() and int(told) in range(4) else None
+            if told is not None and not (force and asked is not None):
+                if asked is not None and asked != told:
+                    log.append(f"$.inf: its {key} {told!r} stands, not {asked!r}")
+                _try(log, put, told)
+            elif asked is not None:
+                _try(log, put, asked)
     todo = []
     for f in r.files if r.files is not None else []:
         p = dict(f["p"])

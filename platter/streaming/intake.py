@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from platter.functions import bytes as B
+from platter.sources.images import name_glob
 
 SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
@@ -15,7 +16,7 @@ def stream_images(spark: SparkSession, folder: str, files_per_trigger: int = 100
     files = (
         spark.readStream.format("binaryFile")
         .schema(SCHEMA)
-        .option("pathGlobFilter", "*.{ssd,dsd,adf,adl}")
+        .option("pathGlobFilter", name_glob())
         .option("recursiveFileLookup", "true")
         .option("maxFilesPerTrigger", files_per_trigger)
         .load(folder)

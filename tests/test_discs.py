@@ -159,10 +159,88 @@ def test_surfaces_round_trip(spark):
     for sequential in (False, True):
         merged = mutate.merge_surfaces(a, b, sequential=sequential)
         back = mutate.split_surfaces(merged, sequential).orderBy("surface").collect()
-        assert [bytes(r.content) for r in back] == sides
+        assert [bytes(r.content) for r in back] == sides and [r.problem for r in back] == [None, None]
     assert bytes(mutate.merge_surfaces(a, b).first().content) == discs.interleaved(*sides)
 
 
+def test_surfaces_of_other_discs(spark):
+    """One-sided, hierarchical and odd images are reported, not cut."""
+    ssd, dsd = discs.blank_image(".ssd", 80), discs.blank_image(".dsd", 80)
+    rows = [("ssd", ".ssd", ssd), ("unnamed", "", ssd), ("dsd", ".dsd", dsd), ("half", ".dsd", discs.blank_image(".dsd", 40)), ("img", ".img", dsd),
+            ("adl", ".adl", discs.blank_image(".adl", 80)), ("odd", ".dsd", dsd + b"x"), ("none", ".dsd", b"")]
+    every = spark.createDataFrame(rows, "image_id string, ext string, content binary")
+    out = {}
+    for r in mutate.split_surfaces(every).collect():
+        out.setdefault(r.image_id, []).append((r.surface, r.content and len(r.content), r.problem))
+    for i in ("dsd", "img"):
+        assert sorted(out[i]) == [(0, 204800, None), (1, 204800, None)]
+    assert sorted(out["half"]) == [(0, 102400, None), (1, 102400, None)]
+    assert out["ssd"] == out["unnamed"] == [(None, None, "the disc has one side")]
+    assert out["adl"] == [(None, None, "the surfaces of a hierarchical disc aren't discs")]
+    assert out["odd"] == out["none"] == [(None, None, "no two-sided disc has this size")]
+    other = spark.createDataFrame([("ssd", ".ssd", ssd), ("unnamed", ".ssd", discs.blank_image(".ssd", 40)), ("dsd", ".ssd", ssd), ("adl", ".ssd", ssd), ("more", ".ssd", ssd)], every.schema)
+    merged = {r.image_id: (r.content and len(r.content), r.problem) for r in mutate.merge_surfaces(every, other).collect()}
+    assert merged["ssd"] == (409600, None) and merged["unnamed"] == (None, "the sides differ in size")
+    assert merged["dsd"] == merged["adl"] == (None, "a side isn't a one-sided flat disc")
+    assert merged["more"] == merged["half"] == (None, "a side is missing")
+    names = spark.createDataFrame([("/a.b/disc.dsd",), ("/a.b/disc",), ("x.y.img",)], "p string").select(mutate.split_names(F.col("p")).alias("n")).collect()
+    assert [r.n[1] for r in names] == ["/a.b/disc-side1.ssd", "/a.b/disc-side1.ssd", "x.y-side1.ssd"]
+
+
+def test_commands_that_cannot_be_done(spark):
+    """Nulls and unwritable discs are reported, and programs are made of source on request."""
+    source = b"10 PRINT 1\n20 GOTO 10\n"
+    program = basic.tokenize(["10 PRINT 1", "20 GOTO 10"])[0]
+    todo = [
+        {"image_id": "a", "op": op, "path": None} for op in ("add", "delete", "rename", "attributes", "mkdir", None)
+    ] + [
+        {"image_id": "a", "op": "rename", "path": "$.X"}, {"image_id": "a", "op": "boot"},
+        {"image_id": "a", "op": "add", "path": "$.SRC", "data": source, "text": "retokenize"}, {"image_id": "a", "op": "add", "path": "$.RAW", "data": source},
+        {"image_id": "a", "op": "add", "path": "$.BIN", "data": b"\x00\xff", "text": "retokenize"}, {"image_id": "a", "op": "add", "path": "$.P", "data": program, "text": "retokenize"},
+    ]
+    made = mutate.new_images(mutate.commands(spark, todo), ".ssd")
+    log = made.first().log
+    assert [x.error is None for x in log] == [False] * 8 + [True] * 4
+    assert {r.name: bytes(r.data) for r in images.files(made).collect()} == {"SRC": program, "RAW": source, "BIN": b"\x00\xff", "P": program}
+    # over 82 gaps of a tree's map
+    rows = [{"image_id": "t", "op": "mkdir", "path": f"$.{d}"} for d in "ABCD"] + [{"image_id": "t", "op": "add", "path": f"$.{'ABCD'[i % 4]}.F{i}", "data": b"x"} for i in range(184)]
+    rows += [{"image_id": "t", "op": "delete", "path": f"$.{'ABCD'[i % 4]}.F{i}"} for i in range(0, 184, 2)]
+    full = mutate.new_images(mutate.commands(spark, rows), ".adf").first()
+    assert full.content is None and full.log[-1].op == "save" and full.log[-1].error
+
+
+def test_names_in_any_case(spark, tmp_path):
+    for n in ("a.ssd", "b.SSD", "c.Ssd", "d.aDl", "e.txt", "f.ssd.bak"):
+        (tmp_path / n).write_bytes(b"x" * 512)
+    found = images.read_images(spark, str(tmp_path)).select(F.element_at(F.split("path", "/"), -1).alias("n")).collect()
+    assert sorted(r.n for r in found) == ["a.ssd", "b.SSD", "c.Ssd", "d.aDl"]
+    from platter.streaming import intake
+
+    query = intake.stream_images(spark, str(tmp_path)).select("path").writeStream.format("memory").queryName("anycase").trigger(availableNow=True).start()
+    query.awaitTermination(60)
+    assert spark.table("anycase").count() == 4
+
+
+def test_deep_tree(spark):
+    rows = [(0, None, "r"), *((i, i - 1, "d") for i in range(1, 14)), (90, 91, "c"), (91, 90, "c")]
+    out = catalogue.walk_tree(spark.createDataFrame(rows, "k int, p int, n string"), "k", "p", "n").collect()
+    assert {r.key: r.depth for r in out} == {i: i for i in range(14)} and max(out, key=lambda r: r.depth).path == "r" + ".d" * 13
+
+
+@pytest.mark.parametrize("force", [False, True])
+def test_title_of_the_tree_and_of_the_table(spark, force):
+    """A side's `$.inf` decides unless forced, and where it doesn't the log says so."""
+    files = spark.createDataFrame(
+        [("a/$.inf", b"$ 0 0 0 0 TITLE=FOLDER OPT=3"), ("b/$/X.bin", b"x"), ("b/$/X.bin.inf", b"$.X 0 0 1")], "path string, content binary"
+    )
+    specs = spark.createDataFrame([("a", ".ssd", 80, "ASKED", 1), ("b", ".ssd", 80, "ASKED", 1), ("c", ".ssd", 40, None, None)], "image_id string, ext string, tracks int, title string, boot_option int")
+    built = tree.build_images(files, specs, F.substring_index("path", "/", 1), force=force)
+    log = {r.image_id: r.log for r in built.collect()}
+    info = {r.image_id: (r.title, r.boot_option) for r in images.side_info(built.join(specs.select("image_id", "ext"), "image_id")).collect()}
+    assert info == {"a": ("ASKED", 1) if force else ("FOLDER", 3), "b": ("ASKED", 1), "c": ("", 0)}
+    assert len(log["a"]) == (0 if force else 2) and log["c"] == []
+
+
 def test_extract_and_build(spark, df, tmp_path):
     source = df.where("image_id in ('ssd', 'dsd', 'adl')")
     out = tree.extract(source, text_mode="escape")
