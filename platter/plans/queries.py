@@ -113,7 +113,7 @@ def dir_tree_walk(spark, d):
         .unionByName(_read(spark, d, "nation").select(tag("n_nationkey", "n").alias("k"), tag("n_regionkey", "r").alias("parent"), F.col("n_name").alias("name")))
         .unionByName(_read(spark, d, "customer").select(tag("c_custkey", "c").alias("k"), tag("c_nationkey", "n").alias("parent"), F.col("c_name").alias("name")))
     )
-    return catalogue.walk_tree(nodes, "k", "parent", "name", most_levels=3)
+    return catalogue.walk_tree(nodes, "k", "parent", "name")
 
 
 @_query("SELECT doc_id, source, quality, toxic FROM documents JOIN labels USING (doc_id)")
@@ -273,10 +273,10 @@ def search_ignore_case(spark, d):
     return _found(_read(spark, d, "conversations"), ["conv_id", "turn"], "the (an|in)", ignore_case=True, use_regex=True)
 
 
-@_query(f"SELECT doc_id, line_ord, length(line) AS n FROM ({_DOC_LINES})")
+@_query(f"SELECT doc_id, line_ord, md5(line) AS digest FROM ({_DOC_LINES})")
 def split_lines(spark, d):
     split = programs.text_lines(_read(spark, d, "documents").select("doc_id", "text"))
-    return split.select("doc_id", F.col("line_ord").cast("long").alias("line_ord"), F.length("line").cast("long").alias("n"))
+    return split.select("doc_id", F.col("line_ord").cast("long").alias("line_ord"), F.md5("line").alias("digest"))
 
 
 @_query(r"SELECT doc_id, regexp_full_match(text, '[\x09\x0A\x0D\x20-\x7E]+') AS plain FROM documents")
@@ -285,63 +285,136 @@ def classify_plain_text(spark, d):
 
 
 @_query(r"""
-SELECT doc_id, CASE WHEN n_chars % 16 IN (0, 4, 12) THEN 'BASIC?'
-  WHEN regexp_full_match(text, '[\x09\x0A\x0D\x20-\x7E]+') THEN 'TEXT' ELSE 'BINARY' END AS file_type FROM documents
+SELECT doc_id, CASE
+  WHEN doc_id % 4 = 1 THEN CASE WHEN n_chars % 16 IN (0, 4, 12) THEN 'BASIC' ELSE 'BASIC?' END
+  WHEN doc_id % 4 = 2 THEN CASE WHEN strlen(text) > 16 THEN 'BASIC+MC' WHEN n_chars % 16 IN (0, 4, 12) THEN 'BASIC' ELSE 'BASIC?' END
+  WHEN n_chars % 16 IN (0, 4, 12) THEN 'BASIC?'
+  WHEN doc_id % 4 = 0 AND regexp_full_match(text, '[\x09\x0A\x0D\x20-\x7E]+') THEN 'TEXT' ELSE 'BINARY' END AS file_type
+FROM documents
 """)
 def classify_file_type(spark, d):
+    """Texts by themselves, as a program's lines, behind a program and behind a program that is cut off, with and without a program's exec address."""
+    docs = _read(spark, d, "documents")
     gate = B.is_basic_exec(F.lit(0x801F).cast("long") + F.col("n_chars") % 16)
-    return _read(spark, d, "documents").select("doc_id", programs.classify(gate, F.encode("text", "UTF-8")).alias("file_type"))
+    text, line = F.encode("text", "UTF-8"), F.lit(bytes((13, 0, 10, 8, 0xF1, 32, 0x41, 0x42)))
+    end, kind = F.lit(b"\r\xff"), F.col("doc_id") % 4
+    body = F.substring(text, 1, 250)
+    whole = F.concat(line, F.lit(b"\r\x00\x14"), F.unhex(F.lpad(F.hex(F.length(body) + 4), 2, "0")), body, end)
+    data = F.when(kind == 1, whole).when(kind == 2, F.concat(line, end, text)).when(kind == 3, F.concat(line, F.lit(b"\r\x00\x14\xff"))).otherwise(text)
+    return docs.select("doc_id", programs.classify(gate, data).alias("file_type"))
 
 
 @_query(r"""
-SELECT doc_id, length(text) + 3 * (length(text) - length(regexp_replace(text, '[^\x20-\x5B\x5D-\x7E]', '', 'g'))) AS escaped_length,
-  true AS returns FROM documents
+SELECT doc_id, md5(array_to_string(list_transform(string_split(text, ''), lambda c: CASE
+    WHEN c <> chr(92) AND regexp_matches(c, '^[\x20-\x7E]$') THEN c ELSE printf('\x%02X', unicode(c)) END), '')) AS escaped, md5(text) AS returned
+FROM documents
 """)
 def text_escape(spark, d):
-    escaped = _read(spark, d, "documents").select("doc_id", "text", programs.escape(F.col("text")).alias("e"))
-    return escaped.select(
-        "doc_id", F.length("e").cast("long").alias("escaped_length"), (programs.unescape(F.col("e")) == F.col("text")).alias("returns")
-    )
+    escaped = _read(spark, d, "documents").select("doc_id", programs.escape(F.col("text")).alias("e"))
+    return escaped.select("doc_id", F.md5("e").alias("escaped"), F.md5(programs.unescape(F.col("e"))).alias("returned"))
 
 
-@_query(f"SELECT doc_id, line_ord + 1 AS number, ' ' || line AS content FROM ({_DOC_LINES}) WHERE NOT regexp_matches(line, '^\\s*([0-9]|$)')")
+@_query(f"""
+WITH marked AS (
+  SELECT *, trim(line, ' ' || chr(9)) = '' AS blank, CASE WHEN line_ord % 7 = 3 THEN 20 * (line_ord + 1) END AS given FROM ({_DOC_LINES})),
+runs AS (SELECT *, max(line_ord) FILTER (WHERE given IS NOT NULL AND NOT blank) OVER (PARTITION BY doc_id ORDER BY line_ord) AS since FROM marked)
+SELECT doc_id, CASE WHEN since IS NULL THEN line_ord + 1 ELSE 20 * (since + 1) + line_ord - since END AS number,
+  CASE WHEN given IS NULL THEN ' x' ELSE 'x' END || line AS content
+FROM runs WHERE NOT blank AND line_ord < 3000
+""")
 def program_numbering(spark, d):
-    """Automatic line numbers of documents' lines that don't start with a digit: blank lines count, none is cut."""
+    """Line numbers of documents' lines, every seventh with a number of its own: the count goes on from there, blank lines count, none is cut.
+
+    Numbers end at 65,279; lines from the 3,000th on are numbered too but not compared.
+    """
     from platter.functions import basic
 
     @F.pandas_udf("array<struct<number:bigint,content:string>>")
     def numbered(s):
         out = []
         for lines in s:
-            plain = ["x" + x if x.lstrip()[:1].isdigit() else x for x in lines]
-            kept = [bool(x.strip()) and not x.lstrip()[:1].isdigit() for x in lines]
-            found = iter(basic.number_lines(plain)[0])
-            rows = [next(found) if x.strip() else None for x in lines]
-            out.append([{"number": r[0], "content": r[1]} for r, k in zip(rows, kept) if k])
+            told = [x if not x.strip(" \t") else f"{20 * (i + 1)}x{x}" if i % 7 == 3 else "x" + x for i, x in enumerate(lines[:3000])]
+            out.append([{"number": n, "content": text} for n, text in basic.number_lines(told)[0]])
         return type(s)(out, index=s.index)
 
     lines = F.split("text", "\\r\\n|\\r|\\n")
     return _read(spark, d, "documents").select("doc_id", F.inline(numbered(lines)))
 
 
-@_query("SELECT p_partkey, p_name AS listed, length(p_name) AS n FROM part")
+#: Source lines and the bytes that the machine's own tokenizer makes of them, in hexadecimal.
+_TOKENIZED = (
+    ('PRINT "HELLO"', "F1202248454C4C4F22"),
+    ("GOTO 100", "E5208D446440"),
+    ("IF A=1 THEN 200 ELSE GOSUB 300", "E720413D31208C208D644840208B20E4208D546C41"),
+    ("FOR I%=1 TO 10:NEXT", "E32049253D3120B82031303AED"),
+    ("REM PRINT stays", "F4205052494E54207374617973"),
+    ("DATA PRINT,GOTO 10", "DC205052494E542C474F544F203130"),
+    ("DEF PROCdraw(X)", "DD20F264726177285829"),
+    ("A=FNsquare(TIME)", "413DA4737175617265289129"),
+    ("TIME=0", "D13D30"),
+    ("P.A$", "F14124"),
+    ("MODE 7:VDU 23,1,0", "EB20373AEF2032332C312C30"),
+    ("PRINTER=1", "F145523D31"),
+    ("ENDPROC", "E1"),
+    ("A$=LEFT$(B$,2)+CHR$65", "41243DC042242C32292BBD3635"),
+    ("*RUN GOTO", "2A52554E20474F544F"),
+    ("A=&FF AND PI", "413D264646208020AF"),
+)
+_SOURCES = ", ".join("'" + text.replace("'", "''") + "'" for text, _ in _TOKENIZED)
+_BYTES = ", ".join(f"'{made}'" for _, made in _TOKENIZED)
+
+
+@_query(f"""
+SELECT doc_id, [{_BYTES}][doc_id % {len(_TOKENIZED)} + 1] || '20F4' || upper(hex(encode(lang))) AS tokens,
+  replace([{_SOURCES}][doc_id % {len(_TOKENIZED)} + 1], 'P.A$', 'PRINTA$') || ' REM' || lang AS listed
+FROM documents WHERE doc_id % {len(_TOKENIZED)} NOT IN (4, 5, 14)
+UNION ALL SELECT doc_id, [{_BYTES}][doc_id % {len(_TOKENIZED)} + 1] || '20' || upper(hex(encode('REM' || lang))), [{_SOURCES}][doc_id % {len(_TOKENIZED)} + 1] || ' REM' || lang
+FROM documents WHERE doc_id % {len(_TOKENIZED)} IN (4, 5, 14)
+""")
 def tokenize_roundtrip(spark, d):
-    part = _read(spark, d, "part").select("p_partkey", programs.encode_line(F.col("p_name")).alias("body"))
-    return part.select("p_partkey", programs.decode_line(F.col("body")).alias("listed"), F.length("body").cast("long").alias("n"))
+    """Lines of the language with a remark behind; remarks, data and commands keep it as it is."""
+    lines = F.array(*(F.lit(text) for text, _ in _TOKENIZED))
+    line = F.concat(F.element_at(lines, (F.col("doc_id") % len(_TOKENIZED) + 1).cast("int")), F.lit(" REM"), "lang")
+    made = _read(spark, d, "documents").select("doc_id", programs.encode_line(line).alias("body"))
+    return made.select("doc_id", F.hex("body").alias("tokens"), programs.decode_line(F.col("body")).alias("listed"))
 
 
-@_query()
+@_query("""
+SELECT p_partkey, lpad(CAST(p_partkey AS VARCHAR), 5, ' ') || ' IFA = ' || p_size || 'THENPRINT"' || p_name || '" : A = A + 1' AS pretty,
+  lpad(CAST(p_partkey AS VARCHAR), 5, ' ') || 'IFA=' || p_size || 'THENPRINT"' || p_name || '":A=A+1' AS compact
+FROM part
+""")
 def pretty_print(spark, d):
     part = _read(spark, d, "part")
     line = F.concat(F.lpad(F.col("p_partkey").cast("string"), 5, " "), F.lit("IFA="), F.col("p_size"), F.lit('THENPRINT"'), "p_name", F.lit('":A=A+1'))
     return part.select("p_partkey", programs.pretty(line).alias("pretty"), programs.compact(programs.pretty(line)).alias("compact"))
 
 
-@_query()
+def _crc_table(bits: int, poly: int, reflected: bool) -> str:
+    """SQL list of a checksum's remainders of one byte."""
+    rows = []
+    for b in range(256):
+        r = b if reflected else b << bits - 8
+        for _ in range(8):
+            if reflected:
+                r = r >> 1 ^ (poly if r & 1 else 0)
+            else:
+                r = (r << 1 ^ (poly if r >> bits - 1 & 1 else 0)) & (1 << bits) - 1
+        rows.append(f"{r}::BIGINT")
+    return "[" + ", ".join(rows) + "]"
+
+
+@_query(f"""
+WITH tables AS (SELECT {_crc_table(16, 0x1021, False)} AS t16, {_crc_table(32, 0xEDB88320, True)} AS t32),
+data AS (SELECT p_partkey, p_name || p_brand || p_type AS s FROM part),
+bytes AS (SELECT p_partkey, list_transform(string_split(s, ''), lambda c: unicode(c)::BIGINT) AS b FROM data)
+SELECT p_partkey, CAST(list_reduce(list_prepend(0::BIGINT, b), lambda crc, x: xor((crc << 8) & 65535, t16[xor(crc >> 8, x) + 1])) AS INTEGER) AS crc16,
+  xor(list_reduce(list_prepend(4294967295::BIGINT, b), lambda crc, x: xor(crc >> 8, t32[xor(crc & 255, x) + 1])), 4294967295) AS crc32
+FROM bytes, tables
+""")
 def crc_checks(spark, d):
-    docs = _read(spark, d, "documents").select("doc_id", F.encode("text", "UTF-8").alias("data"))
-    summed = docs.withColumn("sums", sidecars.checksums(F.col("data")))
-    return summed.select("doc_id", "sums.crc16", "sums.crc32", (F.crc32("data") == F.col("sums.crc32")).alias("agree"))
+    part = _read(spark, d, "part").select("p_partkey", F.encode(F.concat("p_name", "p_brand", "p_type"), "UTF-8").alias("data"))
+    return part.select("p_partkey", F.inline(F.array(sidecars.checksums(F.col("data")))))
 
 
 # -- bits
@@ -419,8 +492,13 @@ def catalogue_pack_unpack(spark, d):
 
 
 @_query("""
-SELECT doc_id, 2560 * CAST(ceil(greatest(a, b) / 2560.0) AS BIGINT) * 2 AS merged, true AS first_returns, true AS second_returns
-FROM (SELECT doc_id, strlen(text) AS a, strlen(lang || text) AS b FROM documents)
+WITH filled AS (
+  SELECT doc_id, hex(encode(text)) AS a, hex(encode(lang || text)) AS b,
+         CAST(ceil(greatest(strlen(text), strlen(lang || text)) / 2560.0) AS BIGINT) AS tracks FROM documents),
+sides AS (SELECT doc_id, tracks, rpad(a, CAST(tracks * 5120 AS INTEGER), '0') AS a, rpad(b, CAST(tracks * 5120 AS INTEGER), '0') AS b FROM filled)
+SELECT doc_id, md5(array_to_string(list_transform(range(tracks), lambda t: substr(a, 5120 * t + 1, 5120) || substr(b, 5120 * t + 1, 5120)), '')) AS merged,
+       md5(a) AS first, md5(b) AS second
+FROM sides
 """)
 def interleave_roundtrip(spark, d):
     """Texts as surfaces of whole tracks, filled up with zeros, merged and split again."""
@@ -429,9 +507,7 @@ def interleave_roundtrip(spark, d):
     docs = docs.select("doc_id", *(F.rpad(c, size, F.lit(b"\0")).alias(c) for c in ("a", "b")))
     docs = docs.withColumn("whole", images.interleave(F.col("a"), F.col("b")))
     back = [images.deinterleave(F.col("whole"), i) for i in (0, 1)]
-    return docs.select(
-        "doc_id", F.length("whole").cast("long").alias("merged"), (back[0] == F.col("a")).alias("first_returns"), (back[1] == F.col("b")).alias("second_returns")
-    )
+    return docs.select("doc_id", *(F.md5(F.hex(c)).alias(n) for c, n in ((F.col("whole"), "merged"), (back[0], "first"), (back[1], "second"))))
 
 
 @_query("""
@@ -455,7 +531,7 @@ def inf_format_parse(spark, d):
 
 _NUMBERS = "load_addr exec_addr length start_sector".split()
 #: Files of an image, and lines of a program: 40 tracks take them whatever their lengths.
-_FILES, _PROGRAM_LINES, _SEGMENT = 30, 380, 240
+_FILES, _PROGRAM_LINES = 30, 380
 _NUMBERED = """
 SELECT doc_id, source, n_chars, text, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 30 AS volume,
   (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) % 30 AS place FROM documents
@@ -463,7 +539,7 @@ SELECT doc_id, source, n_chars, text, (row_number() OVER (PARTITION BY source OR
 
 
 def _volumes(spark: SparkSession, d: str) -> DataFrame:
-    """Documents dealt to discs of _FILES files; a file holds its document's digest."""
+    """Documents dealt to discs of _FILES files; a file holds its document's digest, up to 60 times, in one sector to four."""
     docs = catalogue.ranked(_read(spark, d, "documents"), ["source"], "catalog", "lang", "n_chars", "doc_id")
     place = F.col("position") - 1
     return docs.select(
@@ -472,7 +548,7 @@ def _volumes(spark: SparkSession, d: str) -> DataFrame:
         F.lit(0).alias("side"),
         F.lit("add").alias("op"),
         F.concat(F.lit("D.F"), F.col("doc_id").cast("string")).alias("path"),
-        F.unhex(F.md5(F.encode("text", "UTF-8"))).alias("data"),
+        F.unhex(F.repeat(F.md5(F.encode("text", "UTF-8")), (F.col("doc_id") % 60 + 1).cast("int"))).alias("data"),
         F.col("doc_id").alias("load_addr"),
         F.col("n_chars").alias("exec_addr"),
         (F.col("doc_id") % 2 == 0).alias("flag"),
@@ -483,80 +559,155 @@ def _volumes(spark: SparkSession, d: str) -> DataFrame:
 
 def _built(commands: DataFrame, ext: str) -> DataFrame:
     """New 40-track images of an extension with the commands applied."""
-    return mutate.new_images(commands, ext, tracks=40)
+    return mutate.new_images(commands, ext, tracks=80 if ext == ".adl" else 40)
 
 
-@_query(f"""
-SELECT source || '-' || CAST(volume AS BIGINT) AS image_id, 'D.F' || doc_id AS full_name, doc_id % 262144 AS load_addr, n_chars % 262144 AS exec_addr,
-  CAST(16 AS BIGINT) AS length, CAST(2 + place AS INTEGER) AS start_sector, doc_id % 2 = 0 AS locked, md5(text) AS digest
+def _in_tree(files: DataFrame) -> DataFrame:
+    """The files below `$.D`, with the command that makes it."""
+    files = files.withColumns({"seq": F.col("seq") + 1, "path": F.concat(F.lit("$."), "path")})
+    nothing = {c: F.lit(None).cast(t) for c, t in files.dtypes if c not in ("image_id", "seq", "side", "op", "path")}
+    made = files.select("image_id").distinct()
+    folders = made.withColumns({"seq": F.lit(-1).cast("long"), "side": F.lit(0), "op": F.lit("mkdir"), "path": F.lit("$.D"), **nothing})
+    return folders.unionByName(files)
+
+
+def _content(files: DataFrame, *names: str) -> DataFrame:
+    return files.select("image_id", *names, F.md5(F.lower(F.hex("data"))).alias("digest"))
+
+
+_VOLUME = "source || '-' || CAST(volume AS BIGINT) AS image_id"
+_SECTORS = "CAST(ceil((doc_id % 60 + 1) / 16.0) AS BIGINT)"
+_DIGEST = "md5(repeat(md5(text), CAST(doc_id % 60 + 1 AS BIGINT))) AS digest"
+_BEFORE = f"coalesce(sum({_SECTORS}) OVER (PARTITION BY source, volume ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"
+_FLAT_FILES = f"""
+SELECT {_VOLUME}, 'D.F' || doc_id AS full_name, doc_id % 262144 AS load_addr, n_chars % 262144 AS exec_addr,
+  16 * (doc_id % 60 + 1) AS length, CAST(2 + {_BEFORE} AS INTEGER) AS start_sector, doc_id % 2 = 0 AS locked, {_DIGEST}
 FROM ({_NUMBERED})
-""")
+"""
+_TREE_FILES = f"""
+SELECT {_VOLUME}, '$.D.F' || doc_id AS full_name, doc_id AS load_addr, n_chars AS exec_addr, 16 * (doc_id % 60 + 1) AS length,
+  CAST(12 + {_BEFORE} AS INTEGER) AS start_sector, CASE WHEN doc_id % 2 = 0 THEN 'LWR' ELSE 'WR' END AS access_string, {_DIGEST}
+FROM ({_NUMBERED})
+"""
+
+
+@_query(_FLAT_FILES)
 def dfs_build_read(spark, d):
-    built = _built(_volumes(spark, d), ".ssd")
-    return images.files(built).select(
-        "image_id", "full_name", *_NUMBERS, "locked", F.lower(F.hex("data")).alias("digest")
-    )
+    return _content(images.files(_built(_volumes(spark, d), ".ssd")), "full_name", *_NUMBERS, "locked")
+
+
+@_query(_TREE_FILES)
+def adfs_build_read(spark, d):
+    return _content(images.files(_built(_in_tree(_volumes(spark, d)), ".adf")), "full_name", *_NUMBERS, "access_string")
+
+
+@_query(_TREE_FILES)
+def adl_build_read(spark, d):
+    """As adfs_build_read, on two interleaved surfaces."""
+    return _content(images.files(_built(_in_tree(_volumes(spark, d)), ".adl")), "full_name", *_NUMBERS, "access_string")
 
 
 @_query(f"""
-SELECT source || '-' || CAST(volume AS BIGINT) AS image_id, '$.D.F' || doc_id AS full_name, doc_id AS load_addr, n_chars AS exec_addr,
-  CAST(16 AS BIGINT) AS length, CAST(12 + place AS INTEGER) AS start_sector, CASE WHEN doc_id % 2 = 0 THEN 'LWR' ELSE 'WR' END AS access_string, md5(text) AS digest
+SELECT {_VOLUME}, CAST(place % 2 AS INTEGER) AS side, 'D.F' || doc_id AS full_name, 16 * (doc_id % 60 + 1) AS length,
+  CAST(2 + {_BEFORE.replace("source, volume", "source, volume, place % 2")} AS INTEGER) AS start_sector, {_DIGEST}
 FROM ({_NUMBERED})
 """)
-def adfs_build_read(spark, d):
-    files = _volumes(spark, d).withColumns({"seq": F.col("seq") + 1, "path": F.concat(F.lit("$."), "path")})
-    made = files.select("image_id").distinct()
-    nothing = {c: F.lit(None).cast(t) for c, t in files.dtypes if c not in ("image_id", "seq", "side", "op", "path")}
-    folders = made.withColumns({"seq": F.lit(-1).cast("long"), "side": F.lit(0), "op": F.lit("mkdir"), "path": F.lit("$.D"), **nothing})
-    built = _built(folders.unionByName(files), ".adf")
-    return images.files(built).select(
-        "image_id", "full_name", *_NUMBERS, "access_string", F.lower(F.hex("data")).alias("digest")
-    )
+def dsd_build_read(spark, d):
+    """Files dealt to both sides of interleaved discs."""
+    files = _volumes(spark, d).withColumn("side", (F.col("seq") % _FILES % 2).cast("int"))
+    return _content(images.files(_built(files, ".dsd")), "side", "full_name", "length", "start_sector")
 
 
 @_query(f"""
-SELECT source || '-' || CAST(volume AS BIGINT) AS image_id, CAST(0 AS INTEGER) AS side, CAST(400 AS INTEGER) AS disc_size, CAST(40 AS INTEGER) AS tracks,
-  CAST(count(*) AS INTEGER) AS entry_count, 398 - count(*) AS free_sectors, 256 * (398 - count(*)) AS free_bytes
+SELECT {_VOLUME}, CAST(0 AS INTEGER) AS side, CAST(400 AS INTEGER) AS disc_size, CAST(40 AS INTEGER) AS tracks,
+  CAST(count(*) AS INTEGER) AS entry_count, CAST(398 - sum({_SECTORS}) AS BIGINT) AS free_sectors, CAST(256 * (398 - sum({_SECTORS})) AS BIGINT) AS free_bytes,
+  'VOL ' || left(source, 6) AS title, CAST(volume % 4 AS INTEGER) AS boot_option
 FROM ({_NUMBERED}) GROUP BY source, volume
 """)
 def side_info(spark, d):
-    info = images.side_info(_built(_volumes(spark, d), ".ssd"))
-    return info.select("image_id", "side", "disc_size", "tracks", "entry_count", "free_sectors", "free_bytes")
+    files = _volumes(spark, d)
+    nothing = {c: F.lit(None).cast(t) for c, t in files.dtypes if c not in ("image_id", "seq", "side", "op", "text", "number")}
+    made = files.select("image_id", "side").distinct()
+    parts = F.split("image_id", "-")
+    volume, source = F.element_at(parts, -1).cast("int"), F.array_join(F.slice(parts, 1, F.size(parts) - 1), "-")
+    title = made.withColumns({"seq": F.lit(1 << 40), "op": F.lit("title"), "text": F.concat(F.lit("VOL "), F.substring(source, 1, 6)), "number": F.lit(None).cast("int"), **nothing})
+    boot = made.withColumns({"seq": F.lit((1 << 40) + 1), "op": F.lit("boot"), "text": F.lit(None).cast("string"), "number": volume % 4, **nothing})
+    info = images.side_info(_built(files.unionByName(title).unionByName(boot), ".ssd"))
+    return info.select("image_id", "side", "disc_size", "tracks", "entry_count", "free_sectors", "free_bytes", "title", "boot_option")
+
+
+def _changes(files: DataFrame) -> DataFrame:
+    """Of five files one is deleted, one renamed, one locked, one readdressed."""
+    told = files.where("op = 'add'").withColumn("doc_id", F.regexp_extract("path", r"F(\d+)$", 1).try_cast("long"))
+    k = F.col("doc_id") % 5
+    return told.select(
+        "image_id", (F.col("seq") + 1_000_000_000).alias("seq"), "side",
+        F.when(k == 0, "delete").when(k == 1, "rename").otherwise("attributes").alias("op"), "path", F.lit(None).cast("binary").alias("data"),
+        F.when(k == 3, F.lit(57005).cast("long")).alias("load_addr"), F.lit(None).cast("long").alias("exec_addr"), F.when(k == 2, True).alias("flag"),
+        F.when(k == 1, F.regexp_replace("path", r"D\.F(?=\d+$)", "E.R")).alias("text"), "number",
+    )
 
 
 @_query(f"""
 WITH left_over AS (SELECT *, doc_id % 5 AS what FROM ({_NUMBERED}) WHERE doc_id % 5 <> 0)
-SELECT source || '-' || CAST(volume AS BIGINT) AS image_id, CASE WHEN what = 1 THEN 'E.R' ELSE 'D.F' END || doc_id AS full_name,
-  CASE WHEN what = 3 THEN 57005 ELSE doc_id % 262144 END AS load_addr,
-  CAST(1 + row_number() OVER (PARTITION BY source, volume ORDER BY place) AS INTEGER) AS start_sector,
-  what = 2 OR doc_id % 2 = 0 AS locked, md5(text) AS digest
+SELECT {_VOLUME}, CASE WHEN what = 1 THEN 'E.R' ELSE 'D.F' END || doc_id AS full_name,
+  CASE WHEN what = 3 THEN 57005 ELSE doc_id % 262144 END AS load_addr, CAST(2 + {_BEFORE} AS INTEGER) AS start_sector,
+  what = 2 OR doc_id % 2 = 0 AS locked, {_DIGEST}
 FROM left_over
 """)
 def image_commands(spark, d):
     """Files deleted, renamed, locked and readdressed on built discs, which are then compacted and read."""
     files = _volumes(spark, d)
-    k = F.col("doc_id") % 5
-    told = files.withColumn("doc_id", F.substring("path", 4, 20).cast("long"))
-    changes = told.where("op = 'add'").select(
-        "image_id", (F.col("seq") + 1_000_000_000).alias("seq"), "side",
-        F.when(k == 0, "delete").when(k == 1, "rename").otherwise("attributes").alias("op"), "path", F.lit(None).cast("binary").alias("data"),
-        F.when(k == 3, F.lit(57005).cast("long")).alias("load_addr"), F.lit(None).cast("long").alias("exec_addr"), F.when(k == 2, True).alias("flag"),
-        F.when(k == 1, F.concat(F.lit("E.R"), F.col("doc_id").cast("string"))).alias("text"), "number",
-    )
     last = files.groupBy("image_id").agg(F.lit(1 << 40).cast("long").alias("seq"), F.lit(0).alias("side"), F.lit("compact").alias("op"))
     last = last.select(*(c if c in last.columns else F.lit(None).cast(t).alias(c) for c, t in files.dtypes))
-    built = _built(files.unionByName(changes).unionByName(last), ".ssd")
-    return images.files(built).select("image_id", "full_name", "load_addr", "start_sector", "locked", F.lower(F.hex("data")).alias("digest"))
+    built = _built(files.unionByName(_changes(files)).unionByName(last), ".ssd")
+    return _content(images.files(built), "full_name", "load_addr", "start_sector", "locked")
 
 
 @_query(f"""
-SELECT source || '-' || CAST(volume AS BIGINT) AS image_id, unnest(['D/F' || doc_id || '.bin', 'D/F' || doc_id || '.bin.inf']) AS path FROM ({_NUMBERED})
-UNION ALL SELECT DISTINCT source || '-' || CAST(volume AS BIGINT), '$.inf' FROM ({_NUMBERED})
+WITH placed AS (SELECT *, doc_id % 5 AS what, 12 + {_BEFORE} AS start FROM ({_NUMBERED})),
+gaps AS (SELECT source, volume, min(start) FILTER (WHERE what = 0) AS hole, max(start + {_SECTORS}) AS top FROM placed GROUP BY source, volume)
+SELECT {_VOLUME}, '$.D.' || CASE WHEN what = 1 THEN 'R' ELSE 'F' END || doc_id AS full_name, CASE WHEN what = 3 THEN 57005 ELSE doc_id END AS load_addr,
+  CAST(start AS INTEGER) AS start_sector, CASE WHEN what = 2 OR doc_id % 2 = 0 THEN 'LWR' ELSE 'WR' END AS access_string, {_DIGEST}
+FROM placed WHERE what <> 0
+UNION ALL SELECT {_VOLUME}, '$.D.ONE', 0, CAST(coalesce(hole, top) AS INTEGER), 'WR', md5(hex('x')) FROM gaps
+""")
+def adfs_commands(spark, d):
+    """The same changes in a tree, and a new one-sector file, which takes the first gap: nothing else moves."""
+    files = _in_tree(_volumes(spark, d))
+    changes = _changes(files).withColumn("text", F.replace("text", F.lit("E.R"), F.lit("D.R")))
+    last = files.groupBy("image_id").agg(
+        F.lit(1 << 40).cast("long").alias("seq"), F.lit(0).alias("side"), F.lit("add").alias("op"), F.lit("$.D.ONE").alias("path"), F.lit(b"x").alias("data")
+    )
+    last = last.select(*(c if c in last.columns else F.lit(None).cast(t).alias(c) for c, t in files.dtypes))
+    built = _built(files.unionByName(changes).unionByName(last), ".adf")
+    return _content(images.files(built), "full_name", "load_addr", "start_sector", "access_string")
+
+
+@_query(f"""
+SELECT {_VOLUME}, unnest(['D/F' || doc_id || '.bin', 'D/F' || doc_id || '.bin.inf']) AS path FROM ({_NUMBERED})
+UNION ALL SELECT DISTINCT {_VOLUME}, '$.inf' FROM ({_NUMBERED})
 """)
 def extract_paths(spark, d):
     return tree.extract(_built(_volumes(spark, d), ".ssd")).select("image_id", "path")
 
 
+@_query(f"SELECT {_VOLUME}, 'D/F' || doc_id || '.bin' AS path, {_DIGEST} FROM ({_NUMBERED})")
+def extract_contents(spark, d):
+    out = tree.extract(_built(_volumes(spark, d), ".ssd")).where("path not like '%.inf'")
+    return _content(out.withColumnRenamed("content", "data"), "path")
+
+
+@_query(_FLAT_FILES)
+def build_round_trip(spark, d):
+    """Discs extracted to files and sidecars and built again from these."""
+    out = tree.extract(_built(_volumes(spark, d), ".ssd"))
+    files = out.select(F.concat("image_id", F.lit("/"), "path").alias("path"), "content")
+    specs = out.select("image_id").distinct().selectExpr("image_id", "'.ssd' ext", "40 tracks", "cast(null as string) title", "cast(null as int) boot_option")
+    built = tree.build_images(files, specs, F.substring_index("path", "/", 1)).withColumn("ext", F.lit(".ssd"))
+    return _content(images.files(built), "full_name", *_NUMBERS, "locked")
+
+
 @_query(r"""
 SELECT p_partkey, regexp_full_match(p_name, '[\x00-\x7F]{1,7}') AS flat, regexp_full_match(p_brand, '[\x21-\x7E]{1,10}') AS tree,
   CASE p_size % 6 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 3 WHEN 4 THEN 2 ELSE -1 END AS boot
@@ -569,46 +720,58 @@ def names_and_boot(spark, d):
     )
 
 
-@_query()
+#: Words of the second version in the order of their tokens, from 128 on. Gaps are the line reference, a byte without a
+#: word and the five variables that have a second token where they are assigned.
+_WORDS = """
+AND DIV EOR MOD OR ERROR LINE OFF STEP SPC TAB( ELSE THEN - OPENIN PTR PAGE TIME LOMEM HIMEM ABS ACS ADVAL ASC ASN ATN BGET COS COUNT DEG ERL ERR
+EVAL EXP EXT FALSE FN GET INKEY INSTR( INT LEN LN LOG NOT OPENUP OPENOUT PI POINT( POS RAD RND SGN SIN SQR TAN TO TRUE USR VAL VPOS CHR$ GET$ INKEY$
+LEFT$( MID$( RIGHT$( STR$ STRING$( EOF AUTO DELETE LOAD LIST NEW OLD RENUMBER SAVE - - - - - - SOUND BPUT CALL CHAIN CLEAR CLOSE CLG CLS
+DATA DEF DIM DRAW END ENDPROC ENVELOPE FOR GOSUB GOTO GCOL IF INPUT LET LOCAL MODE MOVE NEXT ON VDU PLOT PRINT PROC READ REM REPEAT REPORT RESTORE RETURN
+RUN STOP COLOUR TRACE UNTIL WIDTH OSCLI
+""".split()
+
+
+@_query("SELECT * FROM (VALUES " + ", ".join(f"({128 + i}, '{w}')" for i, w in enumerate(_WORDS) if w != "-") + ") AS t(token, name)")
 def keyword_table(spark, d):
-    return programs.keywords(spark)
+    return programs.keywords(spark).where("dialect = 'BASIC II'").select("token", "name")
 
 
-_SEGMENTS = rf"""
-SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line_ord, cut_at) AS number, substr(line, cut_at + 1, {_SEGMENT}) AS line
-FROM (SELECT *, unnest(range(0, greatest(length(line), 1), {_SEGMENT})) AS cut_at FROM ({_DOC_LINES}))
-"""
+#: Characters of a line's part, and how far the next part begins after it: a match is whole in the part where it starts.
+_PART, _STEP = 230, 227
 
 
-@_query(f"SELECT doc_id, number, line FROM ({_SEGMENTS}) WHERE contains(line, 'erth')")
+@_query(f"""
+SELECT doc_id, line_ord, (length(line) - length(replace(line, 'erth', ''))) // 4 AS hits FROM ({_DOC_LINES}) WHERE contains(line, 'erth')
+""")
 def search_images(spark, d):
     """Flagship: documents become programs on new discs; the discs are read, listed and searched.
 
-    A text's lines, in parts of _SEGMENT characters, are REM lines of programs of
-    _PROGRAM_LINES lines, each alone on a disc.
+    A text's lines, in overlapping parts of _PART characters with their line's number
+    in front, are REM lines of programs of _PROGRAM_LINES lines, each alone on a disc. All of it is
+    made within the document's row: the one shuffle is of the matches.
     """
-    lines = programs.text_lines(_read(spark, d, "documents").select("doc_id", "text"))
-    cuts = F.sequence(F.lit(0), F.floor((F.greatest(F.length("line"), F.lit(1)) - 1) / _SEGMENT))
-    parts = lines.select("doc_id", "line_ord", "line", F.explode(cuts).alias("cut")).select(
-        "doc_id", "line_ord", "cut", F.expr(f"substring(line, cast(cut * {_SEGMENT} + 1 as int), {_SEGMENT})").alias("part")
+    cut = F.transform(
+        F.split("text", "\\r\\n|\\r|\\n"),
+        lambda line, i: F.transform(
+            F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.length(line) - 4) / _STEP)).cast("int")),
+            lambda c: F.concat(F.lit("REM "), i.cast("string"), F.lit(" "), F.substring(line, c * _STEP + 1, F.lit(_PART))),
+        ),
     )
-    by_doc = parts.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line_ord", "cut", "part"))).alias("all"))
-    groups = F.sequence(F.lit(0), F.floor((F.size("all") - 1) / _PROGRAM_LINES).cast("int"))
-    chunks = by_doc.select("doc_id", "all", F.explode(groups).alias("volume"))
+    docs = _read(spark, d, "documents").select("doc_id", F.flatten(cut).alias("parts"))
+    groups = F.sequence(F.lit(0), F.floor((F.size("parts") - 1) / _PROGRAM_LINES).cast("int"))
+    chunks = docs.select("doc_id", "parts", F.explode(groups).alias("volume"))
     source = F.transform(
-        F.slice("all", F.col("volume") * _PROGRAM_LINES + 1, _PROGRAM_LINES),
-        lambda x, i: F.concat((i + 1).cast("string"), F.lit("REM "), x["part"]),
+        F.slice("parts", F.col("volume") * _PROGRAM_LINES + 1, _PROGRAM_LINES), lambda x, i: F.concat((i + 1).cast("string"), x)
     )
     made = chunks.select(F.concat_ws("-", F.col("doc_id").cast("string"), F.col("volume").cast("string")).alias("image_id"), programs.tokenize(source).alias("p"))
-    blank = {"seq": F.lit(0).cast("long"), "side": F.lit(0), "op": F.lit("add"), "path": F.lit("$.TEXT"), "flag": F.lit(False)}
-    add = made.select(
-        "image_id", *(v.alias(k) for k, v in blank.items()), F.col("p.data").alias("data"), F.lit(0xE00).cast("long").alias("load_addr"),
-        F.lit(0x8023).cast("long").alias("exec_addr"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("int").alias("number"),
-    )
-    found = programs.search(images.files(_built(add, ".ssd")), "erth", ordered=False)
-    key = F.split("image_id", "-")
-    return found.select(
-        key[0].cast("long").alias("doc_id"),
-        (key[1].cast("long") * _PROGRAM_LINES + F.col("line_number")).alias("number"),
-        F.substring(F.col("line"), F.lit(5), F.lit(_SEGMENT)).alias("line"),
-    )
+    program = F.when(F.col("p.error").isNotNull(), F.raise_error(F.col("p.error"))).otherwise(F.col("p.data"))
+    values = {"op": F.lit("add"), "path": F.lit("$.TEXT"), "data": program, "load_addr": F.lit(0xE00).cast("long"), "exec_addr": F.lit(0x8023).cast("long")}
+    kinds = dict(x.split() for x in mutate.COMMANDS.split(", "))
+    add = F.struct(*(values.get(n, F.lit(None).cast(t)).alias(n) for n, t in kinds.items() if n != "image_id"))
+    built = mutate.fill_images(made.select("image_id", F.array(add).alias("commands")), ".ssd", tracks=40)
+    found = programs.search(images.files(built), "erth", ordered=False)
+    words = F.split(F.ltrim(F.col("line")), " ", 3)
+    part = words[2]
+    hits = ((F.length(part) - F.length(F.replace(part, F.lit("erth"), F.lit("")))) / 4).cast("long")
+    by_line = found.groupBy(F.split("image_id", "-")[0].cast("long").alias("doc_id"), words[1].cast("long").alias("line_ord"))
+    return by_line.agg(F.sum(hits).alias("hits"))
