@@ -8,6 +8,7 @@ with `0D FF`.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cache
 
@@ -282,9 +283,11 @@ def number_lines(lines: list[str], strict: bool = False) -> tuple[list[tuple[int
     return out, warnings
 
 
-def tokenize(lines: list[str], version: str = "II", on_overflow: str = "error", strict: bool = False) -> tuple[bytes, list[str]]:
-    """A program and warnings. on_overflow: `error`, or `compact` for lines of over 255 bytes."""
-    if on_overflow not in ("error", "compact"):
+def tokenize(
+    lines: list[str], version: str = "II", on_overflow: str | Callable[[int, str], str] = "error", strict: bool = False
+) -> tuple[bytes, list[str]]:
+    """A program and warnings. on_overflow, for lines of over 255 bytes: `error`, `compact`, or a function of number and text that gives a shorter text."""
+    if not callable(on_overflow) and on_overflow not in ("error", "compact"):
         raise ValueError(f"on_overflow must be error or compact, not {on_overflow!r}")
     numbered, warnings = number_lines(lines, strict)
     out = bytearray()
@@ -293,6 +296,9 @@ def tokenize(lines: list[str], version: str = "II", on_overflow: str = "error",
         if len(body) + 4 > LONGEST_RECORD and on_overflow == "compact":
             warnings.append(f"line {number} of {len(body) + 4} bytes was compacted")
             body = encode_line(_NUMBERED.match(compact_line(f"{number}{text}")).group(2), version)
+        elif len(body) + 4 > LONGEST_RECORD and callable(on_overflow):
+            warnings.append(f"line {number} of {len(body) + 4} bytes was changed")
+            body = encode_line(on_overflow(number, text), version)
         if len(body) + 4 > LONGEST_RECORD:
             raise ValueError(f"line {number} takes {len(body) + 4} bytes, {LONGEST_RECORD} at most")
         out += bytes((RECORD, number >> 8 & 255, number & 255, len(body) + 4)) + body

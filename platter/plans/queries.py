@@ -449,6 +449,28 @@ def access_change(spark, d):
     return _read(spark, d, "orders").select("o_orderkey", after.cast("int").alias("after"))
 
 
+#: Access specs with the bits that they set and clear.
+_SPECS = (
+    ("adfs", "+L-W", 4, 2), ("adfs", "LWR/r", 39, 247), ("adfs", "R/w", 65, 247), ("adfs", "", 0, 247), ("adfs", "-R+E", 16, 1), ("adfs", "LWRE/rwe", 247, 247),
+    ("dfs", "+L", 4, 0), ("dfs", "LOCKED", 4, 4), ("dfs", "-L", 0, 4), ("dfs", "", 0, 4),
+)
+
+
+@_query(f"""
+SELECT o_orderkey, CAST(CASE WHEN a & 8 > 0 THEN (new & 21) | 8 ELSE new END AS INTEGER) AS after FROM (
+  SELECT o_orderkey, a, (a & ~8 & ~[{", ".join(str(c) for *_, c in _SPECS)}][o_orderkey % 10 + 1]) | [{", ".join(str(b) for _, _, b, _ in _SPECS)}][o_orderkey % 10 + 1] AS new
+  FROM ({_BYTE}))
+""")
+def access_specs(spark, d):
+    """Absolute specs and changes of both formats."""
+    a = (F.col("o_orderkey") % 256).cast("int")
+    after = F.lit(None).cast("int")
+    for n, (kind, spec, *_) in enumerate(_SPECS):
+        set_bits, clear_bits, _ = A.parse_spec(spec, kind)
+        after = F.when(F.col("o_orderkey") % 10 == n, A.changed(a, a.bitwiseAND(A.D) != 0, set_bits, clear_bits)).otherwise(after)
+    return _read(spark, d, "orders").select("o_orderkey", after.cast("int").alias("after"))
+
+
 @_query("SELECT o_orderkey, ((32799 + o_orderkey % 16) & 65535) IN (32799, 32803, 32811) AS is_basic FROM orders")
 def basic_exec_gate(spark, d):
     return _read(spark, d, "orders").select("o_orderkey", B.is_basic_exec(F.lit(32799).cast("long") + F.col("o_orderkey") % 16).alias("is_basic"))
@@ -684,6 +706,78 @@ def adfs_commands(spark, d):
     return _content(images.files(built), "full_name", "load_addr", "start_sector", "access_string")
 
 
+@_query(f"""
+SELECT {_VOLUME}, 'D.F' || doc_id AS full_name, CAST(row_number() OVER (PARTITION BY source, volume ORDER BY place DESC) - 1 AS INTEGER) AS ord
+FROM ({_NUMBERED})
+""")
+def dfs_catalogue_order(spark, d):
+    """Flat catalogues hold their files by descending start."""
+    return images.entries(_built(_volumes(spark, d), ".ssd")).select("image_id", "full_name", "ord")
+
+
+@_query(f"""
+SELECT {_VOLUME}, '$.D.F' || doc_id AS full_name, CAST(row_number() OVER (PARTITION BY source, volume ORDER BY CAST(doc_id AS VARCHAR)) AS INTEGER) AS ord
+FROM ({_NUMBERED})
+UNION ALL SELECT DISTINCT {_VOLUME}, '$.D', 0 FROM ({_NUMBERED})
+""")
+def adfs_catalogue_order(spark, d):
+    """Directories hold their files by name."""
+    return images.entries(_built(_in_tree(_volumes(spark, d)), ".adf")).select("image_id", "full_name", "ord")
+
+
+@_query(f"""
+SELECT {_VOLUME}, 256 * CAST(max(start + {_SECTORS}) FILTER (WHERE doc_id % 5 <> 0) - 2 - coalesce(sum({_SECTORS}) FILTER (WHERE doc_id % 5 <> 0), 0) AS BIGINT) AS won
+FROM (SELECT *, 2 + {_BEFORE} AS start FROM ({_NUMBERED})) GROUP BY source, volume HAVING count(*) FILTER (WHERE doc_id % 5 <> 0) > 0
+""")
+def compaction_won(spark, d):
+    """Bytes that compaction wins after every fifth document's file is deleted, from the log."""
+    files = _volumes(spark, d)
+    gone = _changes(files).where("op = 'delete'")
+    last = files.groupBy("image_id").agg(F.lit(1 << 40).cast("long").alias("seq"), F.lit(0).alias("side"), F.lit("compact").alias("op"))
+    last = last.select(*(c if c in last.columns else F.lit(None).cast(t).alias(c) for c, t in files.dtypes))
+    log = _built(files.unionByName(gone).unionByName(last), ".ssd").select("image_id", F.explode("log").alias("x"), F.size(F.filter("log", lambda x: x["op"] == "add")).alias("added"), F.size(F.filter("log", lambda x: x["op"] == "delete")).alias("deleted"))
+    return log.where("x.op = 'compact' and added > deleted").select("image_id", "x.won")
+
+
+@_query(f"""
+WITH files AS ({_FLAT_FILES})
+SELECT image_id, unnest([0, 1]) AS surface, full_name, start_sector, digest FROM files
+""")
+def surfaces_split_merge(spark, d):
+    """Discs merged with themselves to two sides, split again and read."""
+    built = _built(_volumes(spark, d), ".ssd").select("image_id", "ext", "content")
+    halves = mutate.split_surfaces(mutate.merge_surfaces(built, built).withColumn("ext", F.lit(".dsd")))
+    discs = halves.select(F.concat_ws("|", "image_id", "surface").alias("image_id"), F.lit(".ssd").alias("ext"), "content")
+    found = _content(images.files(discs), "full_name", "start_sector")
+    key = F.split("image_id", "\\|")
+    return found.select(key[0].alias("image_id"), key[1].cast("int").alias("surface"), "full_name", "start_sector", "digest")
+
+
+@_query(f"""
+SELECT {_VOLUME}, 'D.F' || doc_id AS full_name, doc_id % 262144 AS load_addr, n_chars % 262144 AS exec_addr, doc_id % 2 = 0 AS locked
+FROM ({_NUMBERED}) WHERE doc_id = 7
+""")
+def file_attributes(spark, d):
+    """One path looked up on all discs."""
+    found = catalogue.attributes(images.entries(_built(_volumes(spark, d), ".ssd")), "D.F7")
+    return found.select("image_id", "full_name", "load_addr", "exec_addr", "locked")
+
+
+@_query(r"SELECT doc_id, NOT regexp_full_match(text, '[\x20-\x5B\x5D-\x7E]*') AS escaped FROM documents")
+def escapes_present(spark, d):
+    return _read(spark, d, "documents").select("doc_id", programs.has_escapes(programs.escape(F.col("text"))).alias("escaped"))
+
+
+@_query(f"""
+SELECT {_VOLUME}, 'D.F' || doc_id AS full_name,
+  CASE WHEN (n_chars % 262144) & 65535 IN (32799, 32803, 32811) THEN 'BASIC?' ELSE 'BINARY' END AS file_type, 16 * (doc_id % 60 + 1) AS length FROM ({_NUMBERED})
+""")
+def cat_listing(spark, d):
+    """The listing with inspected contents: digests are no programs."""
+    listed = catalogue.listing(images.files(_built(_volumes(spark, d), ".ssd")), "size", inspect=True)
+    return listed.select("image_id", "full_name", "file_type", "length")
+
+
 @_query(f"""
 SELECT {_VOLUME}, unnest(['D/F' || doc_id || '.bin', 'D/F' || doc_id || '.bin.inf']) AS path FROM ({_NUMBERED})
 UNION ALL SELECT DISTINCT {_VOLUME}, '$.inf' FROM ({_NUMBERED})

@@ -126,3 +126,13 @@ def test_source_lines():
     assert B.source_lines(b"a\r\nb\rc\nd\x85e\x0bf") == ["a", "b", "c", "d\ufffde\x0bf"]
     assert B.source_lines("a\x85b".encode()) == ["a\x85b"]
     assert B.source_lines(b"\\x41\n") == ["A"]
+
+
+def test_overflow_by_a_function():
+    long = ["10 PRINT 1", "20 REM " + "x" * 300]
+    with pytest.raises(ValueError):
+        B.tokenize(long)
+    data, warnings = B.tokenize(long, on_overflow=lambda number, text: text[:20] + str(number))
+    assert B.detokenize(data)[1] == "   20" + (" REM " + "x" * 300)[:20] + "20" and len(warnings) == 1
+    with pytest.raises(ValueError):
+        B.tokenize(long, on_overflow=lambda number, text: text)
