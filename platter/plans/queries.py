@@ -794,8 +794,8 @@ def extract_contents(spark, d):
 
 @_query(_FLAT_FILES)
 def build_round_trip(spark, d):
-    """Discs extracted to files and sidecars and built again from these."""
-    out = tree.extract(_built(_volumes(spark, d), ".ssd"))
+    """Discs extracted to files and sidecars and built again from these; what is extracted is written once, as it would be to a folder."""
+    out = catalogue.checkpointed(tree.extract(_built(_volumes(spark, d), ".ssd")))
     files = out.select(F.concat("image_id", F.lit("/"), "path").alias("path"), "content")
     specs = out.select("image_id").distinct().selectExpr("image_id", "'.ssd' ext", "40 tracks", "cast(null as string) title", "cast(null as int) boot_option")
     built = tree.build_images(files, specs, F.substring_index("path", "/", 1)).withColumn("ext", F.lit(".ssd"))
