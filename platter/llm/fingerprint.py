@@ -11,7 +11,10 @@ identify the sample. The fingerprint holds 16 bits of each of `SAMPLES`.
 
 Each of r, c and b has its own table, indexed by its own bits of the hash, so a
 term has one of 2**36 triples for each sample. Arithmetic is IEEE single
-precision without transcendental functions, so all machines agree bit by bit.
+precision; the one logarithm taken, of a count above 1, is rounded from double
+precision, so machines agree.
+
+Very long texts: time grows with the length, memory by some 100 bytes a word.
 
 Defined results: null text is the empty text. Empty texts (no word) have the
 fingerprint of f digits; they are alike (1.0) to one another, to others 0.0.
