@@ -48,7 +48,9 @@ DESIGNS = ((85, 20, 88), (80, 28, 79))
 #: Buckets of at least so many members get a second pivot; members of a block; partners of a pivot in a task.
 LARGE, BLOCK, STAR = 32, 512, 2000
 #: Buckets of at least so many members are parted by rare shingles, of which 2**RARE_BITS counters tell how rare.
-HOT, RARE_BITS = 256, 20
+HOT, RARE_BITS = 512, 20
+#: Bits of the filter that keeps most texts that share no bucket from being shuffled; beyond some 10**7 that do it lets more pass.
+FILTER_BITS = 24
 #: Words remembered by a process, and the most bytes of one.
 CACHED_WORDS, CACHED_BYTES = 250_000, 64
 
@@ -201,10 +203,28 @@ class _Search:
         self.groups: DataFrame | None = None
         self.steps = 0
 
+    def _maybe_of(self, wanted: DataFrame):
+        """A test that is true for all reps of wanted and for few others: a bitmap of hashes, of FILTER_BITS at most."""
+        words = wanted.selectExpr(
+            f"shiftright(xxhash64(rep) & {(1 << FILTER_BITS) - 1}, 6) AS at", "shiftleft(1L, cast(xxhash64(rep) & 63 AS int)) AS bits"
+        )
+        set_ = words.groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+        bitmap = np.zeros(1 << FILTER_BITS - 6, np.int64)
+        bitmap[set_.column("at").to_numpy()] = set_.column("bits").to_numpy()
+        sent = wanted.sparkSession.sparkContext.broadcast(bitmap)
+
+        @F.pandas_udf("boolean")
+        def maybe(h):
+            at = h.to_numpy(np.int64) & ((1 << FILTER_BITS) - 1)
+            return type(h)(sent.value[at >> 6] >> (at & 63) & 1 == 1, index=h.index)
+
+        return lambda rep: maybe(F.xxhash64(rep))
+
     def _make_sets(self) -> None:
         """Full sets of the classes that share a bucket. A doc_id may have rows of other classes: they are told apart."""
-        wanted = self.members.select("rep").distinct().join(self.classes.select("rep", "h1", "h2"), "rep")
-        texts = self.docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(wanted, "rep")
+        wanted = self.members.select("rep").distinct()
+        texts = self.docs.select(F.col("doc_id").cast("long").alias("rep"), "text").where(self._maybe_of(wanted)(F.col("rep")))
+        texts = texts.join(wanted.join(self.classes.select("rep", "h1", "h2"), "rep"), "rep")
 
         def one(batch: pa.RecordBatch) -> pa.RecordBatch | None:
             rows = []
