@@ -359,7 +359,7 @@ def test_components(spark):
 # -- 5
 
 
-def brute_near(rows):
+def brute_near(rows, percent=85):
     up = {i: i + 32 for i in range(65, 91)}
     sets = []
     for _, t in rows:
@@ -367,7 +367,7 @@ def brute_near(rows):
         sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
     label = [i for i, _ in rows]
     usable = [n for n, (i, _) in enumerate(rows) if i is not None and sets[n]]
-    links = [(a, b) for a in usable for b in usable if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    links = [(a, b) for a in usable for b in usable if a < b and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
     moved = True
     while moved:
         moved = False

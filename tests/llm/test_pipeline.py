@@ -40,7 +40,7 @@ def test_stages(spark, folder):
     assert len(holders) >= 5
     want = {i: t if i not in holders or i == max(holders) else "\n".join(x for x in t.split("\n") if x != SHARED) for i, t in want.items()}
     rows = list(want.items())
-    _, label = brute_near(rows)
+    _, label = brute_near(rows, corpus_pipeline.NEAR_PERCENT)
     want = {i: t for (i, t), c in zip(rows, label) if i == c}
     want = {i: t if t is None else pii.redact(t, pii.find(t)[1]) for i, t in want.items()}
     now = docs
