@@ -11,6 +11,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -336,6 +337,66 @@ def test_blocks_of_a_hot_cell(spark, monkeypatch):
     assert [r.n_links for r in embedding_dedup.dedup_embeddings(df).orderBy("vec_id").collect()] == n.tolist()
 
 
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_vectors_are_not_copied_between_cells(spark, tmp_path, monkeypatch, kind):
+    """Isotropic vectors, which may link into nearly every cell: all links, and no written table that grows with the cells."""
+    monkeypatch.setattr(embedding_dedup, "CELL_VECTORS", 20)
+    monkeypatch.setattr(embedding_dedup.Scratch, "drop", lambda *_: None)
+    monkeypatch.setattr("platter.llm._common.shared_dir", lambda _: f"file://{tmp_path}")
+    for name, value in (("HOLD", 64 * 300), ("WORK", 64 * 300_000), ("BLOCK", 15)):
+        monkeypatch.setattr(embedding_dedup, name, value, raising=False)
+    r = np.random.default_rng(8)
+    x = r.normal(size=(3000, 64))
+    x[2000:2900] = x[:900] + r.normal(size=(900, 64)) * r.uniform(0.3, 0.6, 900)[:, None]
+    x[2900:] = x[0] + r.normal(size=(100, 64)) * 0.2  # a cell of many blocks
+    x = x.astype(np.float32 if kind == "float" else np.float64)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], f"vec_id long, embedding array<{kind}>")
+    out = {r.vec_id: r for r in embedding_dedup.dedup_embeddings(df).collect()}
+    unit = embedding_dedup.unit_rows(x)
+    link = unit @ unit.T >= 0.9
+    label = np.arange(len(x))
+    while (new := np.where(link, label[None, :], len(x)).min(axis=1)).tolist() != label.tolist():
+        label = new
+    assert link.sum() > 5000 and [out[i].n_links for i in range(len(x))] == (link.sum(axis=1) - 1).tolist()
+    assert [out[i].component_id for i in range(len(x))] == label.tolist()
+    tables = {p.parent: 0 for p in tmp_path.rglob("*.parquet")}
+    for p in tmp_path.rglob("*.parquet"):
+        tables[p.parent] += pq.read_metadata(p).num_rows
+    assert tables and max(tables.values()) <= 2 * len(x)
+
+
+@pytest.mark.parametrize("kind", ["isotropic", "power law", "narrow"])
+def test_leading_directions_bound_every_cosine(kind):
+    r = np.random.default_rng(9)
+    x = r.normal(size=(2000, 64)) / (np.arange(1, 65) if kind == "power law" else 1)
+    x[1000:] = x[:1000] + r.normal(size=(1000, 64)) * np.abs(x[:1000]).mean(axis=0) * 0.3
+    x = embedding_dedup.unit_rows(x + 10 * (kind == "narrow"))
+    basis = embedding_dedup.leading_directions(x, 0.9)
+    part = embedding_dedup.with_rest(x, basis)
+    assert part.shape[1] < 64 and (part @ part.T >= x @ x.T - 1e-12).all()
+    single, leading = x.astype(np.float32), part.astype(np.float32)
+    cut = (slice(0, 1000), slice(1000, 2000))
+    blocks = [embedding_dedup.Block(0, np.arange(2000)[i], np.ones(1000, int), x[i], single[i], leading[i]) for i in cut]
+    link = (x @ x.T >= 0.9) & ~np.eye(2000, dtype=bool)
+    total = np.zeros(2000, int)
+    for a, b in ((0, 0), (0, 1), (1, 1)):
+        ids, _, weight = embedding_dedup.compare_blocks(blocks[a], blocks[b], 0.9)
+        total[ids] += weight
+    assert total.tolist() == link.sum(axis=1).tolist() and total.any()
+
+
+def test_every_two_blocks_meet_once(monkeypatch):
+    r = np.random.default_rng(3)
+    for hold, parts in ((1, 1), (900, 7), (10**9, 40)):
+        monkeypatch.setattr(embedding_dedup, "HOLD", hold)
+        blocks = sorted([(-9, 5, 8), (-9, 5, 8), (-3, 1, 2), *((int(c), int(n), 16) for c, n in r.integers(1, 30, (40, 2)))])
+        tasks = embedding_dedup.plan_tasks(blocks, parts)
+        met = [(a, b) for a0, a1, b0, b1 in tasks for b in range(b0, b1) for a in range(a0, min(a1, b + 1))]
+        one = lambda c: c if c < 0 else 0
+        assert sorted(met) == [(a, b) for a in range(43) for b in range(a, 43) if one(blocks[a][0]) == one(blocks[b][0])]
+        assert len(tasks) >= parts // 2
+
+
 def test_components(spark):
     r = random.Random(2)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(190)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5, 5), (7, 3), (3, 7)]
