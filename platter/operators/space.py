@@ -82,13 +82,18 @@ def last_writers(files: DataFrame, disc: list[str], ident: str, start: str, sect
 def overlaps(files: DataFrame, disc: list[str], ident: str, start: str, sectors: str, bucket: int = 64) -> DataFrame:
     """Pairs of files of a disc that share sectors, each once: ident, other, shared.
 
-    Intervals are joined by the buckets of sectors that they touch; a pair
-    counts in the first bucket that both touch.
+    The later start of a pair lies in the other file. So one side of the join has a file
+    in every bucket of sectors that it touches, the other side in its start's alone:
+    a pair meets once, and candidates beyond the result are those within a bucket. The result itself
+    grows with the square of the files of a disc; buckets are dealt to all tasks, few as their bytes may be.
     """
     f = files.where(F.col(sectors) > 0).select(
         *disc, F.col(ident).alias("id"), F.col(start).cast("long").alias("s"), (F.col(start) + F.col(sectors)).cast("long").alias("e")
     )
+    g = f.select(*disc, F.floor(F.col("s") / bucket).alias("bucket"), *(F.col(c).alias(f"{c}2") for c in ("id", "s", "e")))
     f = f.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("s") / bucket), F.floor((F.col("e") - 1) / bucket))))
-    g = f.select(*disc, "bucket", *(F.col(c).alias(f"{c}2") for c in ("id", "s", "e")))
-    pairs = f.join(g, [*disc, "bucket"]).where("id < id2 and s < e2 and s2 < e").where(F.floor(F.greatest("s", "s2") / bucket) == F.col("bucket"))
-    return pairs.select(*disc, F.col("id").alias(ident), F.col("id2").alias("other"), (F.least("e", "e2") - F.greatest("s", "s2")).alias("shared"))
+    tasks = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    f, g = (x.repartition(tasks, *disc, "bucket") for x in (f, g))  # a number that is asked for isn't coalesced by bytes
+    later = (F.col("s") < F.col("s2")) & (F.col("id") != F.col("id2")) | (F.col("s") == F.col("s2")) & (F.col("id") < F.col("id2"))
+    pairs = f.hint("merge").join(g, [*disc, "bucket"]).where(later & (F.col("s2") < F.col("e")))
+    return pairs.select(*disc, F.least("id", "id2").alias(ident), F.greatest("id", "id2").alias("other"), (F.least("e", "e2") - F.col("s2")).alias("shared"))
