@@ -70,13 +70,18 @@ def reservable(requests: DataFrame, blocks: DataFrame, disc: list[str], request:
 
 
 def last_writers(files: DataFrame, disc: list[str], ident: str, start: str, sectors: str) -> DataFrame:
-    """Who owns each sector where placed files overlap: the one whose end is greatest, then whose start is least, then the least id."""
+    """Who owns each sector where placed files overlap: the one whose end is greatest, then whose start is least, then the least id.
+
+    Going up a disc's starts, a file owns sectors only if it ends above all files before it,
+    and then as far as the start of the next such file: sectors are made of the owners alone.
+    """
     end = F.col(start) + F.col(sectors)
-    each = files.where(F.col(sectors) > 0).select(
-        *disc, F.col(ident), F.col(start).alias("__s"), end.alias("__e"), F.explode(F.sequence(F.col(start), end - 1)).alias("sector")
-    )
-    best = F.min_by(F.col(ident), F.struct(-F.col("__e"), F.col("__s"), F.col(ident)))
-    return each.groupBy(*disc, "sector").agg(best.alias(ident))
+    placed = files.where((F.col(sectors) > 0) & F.col(start).isNotNull()).select(*disc, F.col(ident), F.col(start).alias("__s"), end.alias("__e"))
+    upwards = Window.partitionBy(*disc).orderBy("__s", F.desc("__e"), ident)
+    reach = F.max("__e").over(upwards.rowsBetween(Window.unboundedPreceding, -1))
+    owners = placed.withColumn("__reach", reach).where(F.col("__reach").isNull() | (F.col("__e") > F.col("__reach")))
+    owners = owners.withColumn("__next", F.lead("__s").over(upwards))
+    return owners.select(*disc, F.explode(F.sequence("__s", F.least("__e", "__next") - 1)).alias("sector"), ident)
 
 
 def overlaps(files: DataFrame, disc: list[str], ident: str, start: str, sectors: str, bucket: int = 64) -> DataFrame:

@@ -23,3 +23,17 @@ def test_overlaps_are_dealt_to_all_tasks(spark):
         found = space.overlaps(placed, ["disc"], "id", "s", "n", bucket=bucket)
         assert sorted(map(tuple, found.collect())) == brute
     assert found.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_last_writers_sort_no_sectors(spark):
+    """Sectors are made of owners; none is sorted or shuffled."""
+    rows, placed = placed_at_random(spark)
+    best = {}
+    for i, d, s, n in rows:
+        for sector in range(s, s + n):
+            best.setdefault((d, sector), []).append((-(s + n), s, i))
+    found = space.last_writers(placed, ["disc"], "id", "s", "n")
+    assert sorted(map(tuple, found.collect())) == sorted((*k, min(v)[2]) for k, v in best.items())
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" in plan and "SortAggregate" not in plan
+    assert plan.index("Generate") < plan.index("Window")  # above it
