@@ -2,9 +2,13 @@
 
 import random
 
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
-from platter.operators import space
+from platter.functions import slices
+from platter.operators import mutate, space
+from platter.sources import discs, images
 
 
 def placed_at_random(spark, n=300):
@@ -37,3 +41,68 @@ def test_last_writers_sort_no_sectors(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Generate" in plan and "SortAggregate" not in plan
     assert plan.index("Generate") < plan.index("Window")  # above it
+
+
+def handed_on(made, ddl, batches):
+    """Row counts of the batches that map_rows makes of batches, without a cluster."""
+    seen = {}
+    df = type("Table", (), {"mapInArrow": lambda self, run, schema: seen.setdefault("run", run)})()
+    slices.map_rows(df, made, ddl)
+    return [b.num_rows for b in seen["run"](iter(batches))]
+
+
+def test_images_are_handed_on_in_small_batches(spark):
+    """A batch of commands of a few KB would become a GB of images."""
+    batch = pa.RecordBatch.from_pydict({"n": list(range(1000))})
+    sizes = handed_on(lambda r: (r["n"], bytes(100_000)), "n long, content binary", [batch, batch])
+    assert sum(sizes) == 2000 and max(sizes) * 100_000 <= slices.GATHERED_BYTES + 100_000
+    sizes = handed_on(lambda r: (r["n"], None), "n long, content binary", [batch, batch])
+    assert sum(sizes) == 2000 and max(sizes) <= slices.GATHERED
+
+
+@pytest.mark.parametrize("ext", [".ssd", ".dsd", ".adf", ".adl"])
+def test_images_of_few_commands_are_dealt_to_all_tasks(spark, ext):
+    """Few as the commands' bytes may be."""
+    todo = mutate.commands(spark, [{"image_id": f"i{i}", "op": "add", "path": "$.A", "data": b"x"} for i in range(150)])
+    made = mutate.new_images(todo, ext)
+    assert made.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert images.files(made).where("full_name = '$.A' and data = X'78'").count() == 150
+
+
+def test_trees_send_directories_alone(spark):
+    """Broken and cyclic ones give the rows that the whole disc gives."""
+    d = discs.AdfsDisc.blank(640)
+    for name in ("$.A", "$.A.B", "$.C"):
+        d.make_directory(name)
+    d.add("$.A.B.F", b"1Hugo" * 400)
+    start = {f.name: f.start_sector for f in d.directory().files}
+    inner = d.directory(start["A"])
+    inner.files.append(discs.File("", "LOOP", 0, 0, 1280, 2, True, True, 13))
+    d._store(start["A"], inner)
+    whole = bytearray(d.content())
+    contents = [bytes(whole)]
+    for at in (1, 0x4FA, 0x4FB):  # a header mark, a sequence number, a footer mark
+        broken = whole.copy()
+        broken[start["C"] * 256 + at] ^= 1
+        contents.append(bytes(broken))
+    contents.append(bytes(whole[: start["C"] * 256 + 1278]))  # cut off in a directory
+    df = spark.createDataFrame([(str(i), ".adf", c) for i, c in enumerate(contents)], "image_id string, ext string, content binary")
+    sides = images.surfaces(df, heads=True)
+    assert sides.agg(F.max(F.size("directories"))).first()[0] <= 4  # and no file's bytes
+    names = [x.split()[0] for x in images.ENTRY.split(", ")]
+    found = {r.image_id: [tuple(e) for e in r.entries] for r in images.catalogues(df).select("image_id", "entries").collect()}
+    assert names[0] == "ord" and found == {str(i): [(k, *e) for k, e in enumerate(discs.walk_adfs(c))] for i, c in enumerate(contents)}
+
+
+def test_texts_are_python_values_in_slices():
+    """No more than a few rows of a batch at once, and all of them."""
+    alive = []
+
+    def fn(x):
+        alive.append(x)
+        return x
+
+    for k in (0, 1, 15, 16, 17, 1000):
+        texts = pa.array([None if i % 7 == 3 else "x" * i for i in range(k)], pa.string())
+        made = slices.per_row(fn, "string")
+        assert made.func(texts).equals(texts)
