@@ -10,12 +10,13 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from types import SimpleNamespace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from platter.functions import access as A
-from platter.functions import basic, inf
+from platter.functions import basic, inf, slices
 from platter.functions import bytes as B
 from platter.operators import programs, sidecars
 from platter.sources import discs, images
@@ -143,19 +144,12 @@ def build_images(files: DataFrame, images_: DataFrame, image_of: Column, side_of
     grouped = rows.groupBy("image_id").agg(F.collect_list("file").alias("files"))
     titles = heads.groupBy("image_id").agg(F.collect_list(F.struct("side", "line")).alias("heads"))
 
-    def make(batches: Iterator):
-        import pandas as pd
-
-        for batch in batches:
-            out = []
-            for r in batch.itertuples(index=False):
-                log: list[str] = []
-                content = _assemble(r, log, force)
-                out.append((r.image_id, content, log))
-            yield pd.DataFrame(out, columns=["image_id", "content", "log"])
+    def make(r: dict) -> tuple:
+        log: list[str] = []
+        return r["image_id"], _assemble(SimpleNamespace(**r), log, force), log
 
     joined = images_.join(grouped, "image_id", "left").join(titles, "image_id", "left")
-    return joined.mapInPandas(make, "image_id string, content binary, log array<string>")
+    return slices.map_rows(joined, make, "image_id string, content binary, log array<string>")
 
 
 def _value(x):
